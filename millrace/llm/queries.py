@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import leaks, mixing, near, tokens, toxicity
+from millrace.llm import leaks, mixing, near, repeats, suffix, tokens, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -13,6 +13,10 @@ def op1_near_duplicates(spark, sf_dir):
     return near.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array(spark, sf_dir):
+    return suffix.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_ids(spark, sf_dir):
     return tokens.packed(_table(spark, sf_dir, "documents"))
 
@@ -29,5 +33,33 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op6_token_ids, op7_mixing, op8_decontamination, op9_toxicity)}
-ORACLES: dict[str, str] = {}
+def op10_seed_and_extend(spark, sf_dir):
+    return repeats.repeats(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_suffix_array, op6_token_ids, op7_mixing, op8_decontamination, op9_toxicity, op10_seed_and_extend)}
+
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+ORACLES = {
+    "op3_suffix_array": rf"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+        g AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM p),
+        r AS (SELECT DISTINCT doc_id, i FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1)),
+        n AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM r),
+        s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM n)
+        SELECT doc_id, min(i) - 1 AS start_word, max(i) + 49 AS end_word, max(i) - min(i) + 50 AS n_words
+        FROM s GROUP BY doc_id, island""",
+    "op8_decontamination": rf"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, {_WORDS} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        dp AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+        bp AS (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS j FROM b WHERE len(w) >= 13),
+        dg AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM dp),
+        bg AS (SELECT item_id, j, array_to_string(list_slice(w, j, j + 12), ' ') AS g FROM bp),
+        m AS (SELECT doc_id, item_id, i, j, j - i AS diagonal FROM dg JOIN bg USING (g)),
+        s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS island FROM m)
+        SELECT doc_id, item_id, min(i) - 1 AS doc_start, min(j) - 1 AS item_start, count(*) + 12 AS n_words
+        FROM s GROUP BY doc_id, item_id, diagonal, island""",
+}

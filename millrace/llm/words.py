@@ -141,7 +141,7 @@ _PINV = U(pow(int(_P), -1, 2**64))
 def span_hash(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Hash of the words s..e-1 for many spans; equal spans have equal hashes wherever they are."""
     n = len(h)
-    if n > len(_POW.get("up", ())):
+    if n >= len(_POW.get("up", ())):
         size = max(1 << 18, 1 << int(n).bit_length())
         one = np.ones(1, U)
         _POW["up"] = np.concatenate([one, np.cumprod(np.full(size, _P, dtype=U))])
