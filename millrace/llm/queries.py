@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import leaks, mixing, near, repeats, suffix, tokens, toxicity
+from millrace.llm import leaks, licences, mixing, near, repeats, suffix, tokens, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -13,6 +13,10 @@ def op1_near_duplicates(spark, sf_dir):
     return near.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_licences(spark, sf_dir):
+    return licences.licences(_table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_array(spark, sf_dir):
     return suffix.repeated_spans(_table(spark, sf_dir, "documents"))
 
@@ -37,11 +41,12 @@ def op10_seed_and_extend(spark, sf_dir):
     return repeats.repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_suffix_array, op6_token_ids, op7_mixing, op8_decontamination, op9_toxicity, op10_seed_and_extend)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_licences, op3_suffix_array, op6_token_ids, op7_mixing, op8_decontamination, op9_toxicity, op10_seed_and_extend)}
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 ORACLES = {
+    "op2_licences": licences.oracle(),
     "op3_suffix_array": rf"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
         p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
