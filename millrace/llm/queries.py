@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.llm import leaks, licences, mixing, near, repeats, suffix, tokens, toxicity
+from pyspark.sql import functions as F
+
+from millrace.llm import audio, leaks, licences, mixing, near, quotes, repeats, suffix, tokens, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -21,6 +23,18 @@ def op3_suffix_array(spark, sf_dir):
     return suffix.repeated_spans(_table(spark, sf_dir, "documents"))
 
 
+def op4_quotation_linking(spark, sf_dir):
+    """The conversations as mail, since they hold no quotes themselves: each message quotes what it
+    answers, and linking has to find that out and to take the quotes away again."""
+    return quotes.linked(quotes.as_mail(_table(spark, sf_dir, "conversations")))
+
+
+def op5_mpeg_audio(spark, sf_dir):
+    """A media column for every page, since no table has one: streams that carry the page's bytes."""
+    media = audio.with_audio(_table(spark, sf_dir, "pages"), F.col("page_id"), F.col("html"), F.col("url"))
+    return audio.audio_index(media)
+
+
 def op6_token_ids(spark, sf_dir):
     return tokens.packed(_table(spark, sf_dir, "documents"))
 
@@ -41,7 +55,7 @@ def op10_seed_and_extend(spark, sf_dir):
     return repeats.repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_licences, op3_suffix_array, op6_token_ids, op7_mixing, op8_decontamination, op9_toxicity, op10_seed_and_extend)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_licences, op3_suffix_array, op4_quotation_linking, op5_mpeg_audio, op6_token_ids, op7_mixing, op8_decontamination, op9_toxicity, op10_seed_and_extend)}
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
