@@ -6,7 +6,8 @@ an empty bin takes the value of a bin that a second, universal hash chooses, aga
 that one is not empty. Rows of the signature are folded into bands; documents with an equal band
 share a bucket. In a bucket each document is compared with the least one, the hub of the star, and
 with its neighbour in the order of the following band, so that a bucket of n has less than 2 n
-candidate pairs. Candidates are verified on the signature.
+candidate pairs. Candidates are verified on the signature, or, where both documents are so short that
+their signatures would repeat few values, on all their shingles.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from millrace.llm.words import ends, grams, mix, span_hash, words
 SHINGLE = 3
 BINS = 128
 ROWS = 4
-#: Least share of equal signature rows, an estimate of the Jaccard similarity of the shingle sets.
+#: Least Jaccard similarity of the shingle sets, by the share of equal signature rows or exactly.
 THRESHOLD = 0.45
+#: Documents with at most so many shingles are compared by them.
+SHORT = 256
 #: A list of ids of at most so many rows may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -34,27 +37,33 @@ _MASK = _U((1 << 57) - 1)
 _EMPTY = _U(2**64 - 1)
 
 
-def signatures(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """A row of BINS minima for each text; all bins are empty where there is nothing to compare."""
+def signatures(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, list[bytes]]:
+    """A row of BINS minima for each text; all bins are empty where there is nothing to compare. And the
+    sorted distinct shingles of the texts that have at most SHORT of them."""
     w = words(texts)
     n = len(texts)
-    out = np.full(n * BINS, _EMPTY)
     lens = np.diff(w.ptr)
+    g, doc = np.empty(0, _U), np.empty(0, np.int64)
     if len(w.h) >= shingle:
         g = grams(w.h, shingle)
         at = np.flatnonzero(np.arange(len(g)) + shingle <= ends(w)[: len(g)])
         g, doc = g[at], np.repeat(np.arange(n), np.maximum(lens - shingle + 1, 0))
-        np.minimum.at(out, doc * BINS + (g >> _U(57)).astype(np.int64), g & _MASK)
     short = np.flatnonzero((lens > 0) & (lens < shingle))
     if len(short):
-        g = span_hash(w.h, w.ptr[short], w.ptr[short + 1])
-        out[short * BINS + (g >> _U(57)).astype(np.int64)] = g & _MASK
-    for i in np.flatnonzero(lens == 0):
-        text = texts[int(i)].as_py()
+        g, doc = np.concatenate([g, span_hash(w.h, w.ptr[short], w.ptr[short + 1])]), np.concatenate([doc, short])
+    for i in np.flatnonzero(lens == 0).tolist():
+        text = texts[i].as_py()
         if text and text.strip():  # no word: only the very same text is alike
-            g = int.from_bytes(hashlib.md5(text.encode("utf-8", "replace")).digest()[:8], "big")
-            out[i * BINS + (g >> 57)] = g & ((1 << 57) - 1)
-    return _densified(out.reshape(n, BINS))
+            own = int.from_bytes(hashlib.md5(text.encode("utf-8", "replace")).digest()[:8], "big")
+            g, doc = np.append(g, _U(own)), np.append(doc, i)
+    out = np.full(n * BINS, _EMPTY)
+    np.minimum.at(out, doc * BINS + (g >> _U(57)).astype(np.int64), g & _MASK)
+    few = np.bincount(doc, minlength=n) <= SHORT
+    own = few[doc]
+    key = np.unique((doc[own].astype(_U) << _U(32)) | (g[own] & _U(0xFFFFFFFF)))
+    ptr = np.searchsorted(key >> _U(32), np.arange(n + 1, dtype=_U))
+    low = key.astype(np.uint32)
+    return _densified(out.reshape(n, BINS)), [low[ptr[i] : ptr[i + 1]].tobytes() for i in range(n)]
 
 
 def _densified(m: np.ndarray) -> np.ndarray:
@@ -83,18 +92,18 @@ def _signed(keyed: DataFrame) -> DataFrame:
     def sign(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                m = signatures(part.column("text"))
+                m, shingles = signatures(part.column("text"))
                 some = np.flatnonzero(m[:, 0] != _EMPTY)
                 m = m[some]
                 b = bands(m)
                 offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * b.shape[1])
                 low = (m & _U(0xFFFF)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key").take(pa.array(some)), pa.array([r.tobytes() for r in low], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(b.ravel()))],
-                    ["key", "sig", "bands"],
+                    [part.column("key").take(pa.array(some)), pa.array([r.tobytes() for r in low], pa.binary()), pa.array([shingles[i] for i in some], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(b.ravel()))],
+                    ["key", "sig", "shingles", "bands"],
                 )
 
-    return keyed.mapInArrow(sign, "key long, sig binary, bands array<long>")
+    return keyed.mapInArrow(sign, "key long, sig binary, shingles binary, bands array<long>")
 
 
 def _alike(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -103,7 +112,13 @@ def _alike(pairs: DataFrame, threshold: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("x", "y"))
-            yield batch.select(["u", "v"]).filter(pa.array((x == y).mean(axis=1) >= threshold))
+            alike = (x == y).mean(axis=1)
+            for i, (a, b) in enumerate(zip(batch.column("p").to_pylist(), batch.column("q").to_pylist())):
+                if a and b:
+                    a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                    common = len(np.intersect1d(a, b, assume_unique=True))
+                    alike[i] = common / (len(a) + len(b) - common)
+            yield batch.select(["u", "v"]).filter(pa.array(alike >= threshold))
 
     return pairs.mapInArrow(verify, "u long, v long")
 
@@ -116,8 +131,9 @@ def groups(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bucket = W.partitionBy("band")
     stars = rows.select("key", F.min("key").over(bucket).alias("hub"), F.lag("key").over(bucket.orderBy("following", "key")).alias("near"))
     pairs = stars.select("key", F.explode(F.array("hub", "near")).alias("other")).where("key <> other").select(F.least("key", "other").alias("u"), F.greatest("key", "other").alias("v")).distinct()
-    sig = signed.select("key", "sig").dropDuplicates(["key"])
-    both = pairs.join(sig.select(F.col("key").alias("u"), F.col("sig").alias("x")), "u").join(sig.select(F.col("key").alias("v"), F.col("sig").alias("y")), "v").select("u", "v", "x", "y")
+    sig = signed.select("key", "sig", "shingles").dropDuplicates(["key"])
+    side = lambda k, x, p: sig.select(F.col("key").alias(k), F.col("sig").alias(x), F.col("shingles").alias(p))
+    both = pairs.join(side("u", "x", "p"), "u").join(side("v", "y", "q"), "v").select("u", "v", "x", "y", "p", "q")
     return components(_alike(both, threshold))
 
 
