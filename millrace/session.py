@@ -37,3 +37,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = f"file://{own}"
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """spark, whose executors can import this package wherever the driver was started."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_millrace_shipped", False):
+        import os
+        import zipfile
+
+        here = os.path.dirname(os.path.abspath(__file__))
+        held = tempfile.mkdtemp(prefix="millrace-code-")
+        atexit.register(shutil.rmtree, held, ignore_errors=True)
+        with zipfile.ZipFile(f"{held}/millrace_code.zip", "w") as out:
+            for folder, _, names in os.walk(here):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.join("millrace", os.path.relpath(path, here)))
+        sc.addPyFile(f"{held}/millrace_code.zip")
+        sc._millrace_shipped = True
+    return spark
