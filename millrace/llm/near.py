@@ -25,8 +25,10 @@ from millrace.llm.words import ends, grams, mix, span_hash, words
 SHINGLE = 3
 BINS = 128
 ROWS = 4
-#: Least Jaccard similarity of the shingle sets, by the share of equal signature rows or exactly.
-THRESHOLD = 0.45
+#: Least Jaccard similarity of the shingle sets of copies.
+THRESHOLD = 0.5
+#: The standard error of an estimate on BINS rows; one of that much less than the threshold passes.
+ERROR = 0.5 / BINS**0.5
 #: Documents with at most so many shingles are compared by them.
 SHORT = 256
 #: A list of ids of at most so many rows may be broadcast.
@@ -112,7 +114,7 @@ def _alike(pairs: DataFrame, threshold: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("x", "y"))
-            alike = (x == y).mean(axis=1)
+            alike = (x == y).mean(axis=1) + ERROR
             for i, (a, b) in enumerate(zip(batch.column("p").to_pylist(), batch.column("q").to_pylist())):
                 if a and b:
                     a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
