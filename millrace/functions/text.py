@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Characters without which a text is in NFC already.
 _COMPOSABLE = (
@@ -37,7 +37,7 @@ def nfc(c: Column) -> Column:
     return F.coalesce(_nfc(F.when(c.rlike(_COMPOSABLE), c)), c)
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(ArrayType(StringType()))
 def _nfc_each(x: pa.Array) -> pa.Array:
     flat = pc.utf8_normalize(x.flatten(), "NFC")
     lengths = pc.fill_null(pc.list_value_length(x), 0)
