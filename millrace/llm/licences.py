@@ -12,8 +12,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: End of a sentence: punctuation before white space, or a colon that ends a line.
-_END = r"([.!?;])[ \t\r\n]+|:[ \t\r]*\n[ \t\r\n]*"
+#: End of a sentence: punctuation before white space, a colon that ends a line, or a blank line, which
+#: may hold the marks of a comment.
+_END = r"([.!?;])[ \t\r\n]+|:[ \t\r]*\n[ \t\r\n]*|\n[ \t\r#*/-]*\n[ \t\r\n]*"
 _NO_WORD = r"[^\p{L}\p{N}]+"
 _MARK = "\x01"
 
@@ -104,6 +105,8 @@ def _sentences() -> dict[str, str]:
                 point = v if "." in v else f"{v}.0"
                 out[normalised(lead + base)] = f"terms:{short}-{point}-or-later"
                 out[normalised(lead + only)] = f"terms:{short}-{point}"
+                out[normalised(f"{lead}under the terms of the GNU {long} Public License as published by the Free Software Foundation")] = f"published:{short}"
+            out[normalised(f"either version {v} of the License, or (at your option) any later version")] = f"either:{v}"
     return out
 
 
@@ -132,6 +135,11 @@ def _rules() -> list[tuple[str, list[str]]]:
         ("Apache-2.0", ["apache-head", "apache-except"]), ("Apache-2.0", ["apache-head"]), ("MPL-2.0", ["mpl-head"]),
         ("ISC", ["isc-grant"]), ("Zlib", ["zlib-use"]), ("Unlicense", ["unlicense-domain"]),
     ]
+    for t in terms:  # the older wording has a semicolon in this sentence
+        short, v = t[6:].split("-")[:2]
+        if t.endswith("-or-later"):
+            parts = [f"published:{short}", f"either:{v.removesuffix('.0')}"]
+            rules += [(t[6:], ["gpl-free", *parts, "gpl-hope", "gpl-implied", "gpl-see"]), (t[6:], ["gpl-free", *parts]), (t[6:], parts)]
     rules += [(t[6:], [t]) for t in terms]
     return rules + [(v[3:], [v]) for v in sorted({v for v in SENTENCES.values() if v.startswith("is:")})]
 

@@ -23,7 +23,7 @@ FAN = 64
 BROADCAST_ROWS = 100_000
 EPS = 1e-9
 
-_RATE, _COPIES, _REST, _UNIT, _SOURCE = (f"__millrace_{x}" for x in ("rate", "copies", "rest", "unit", "source"))
+_RATE, _COPIES, _REST, _UNIT, _UP, _SOURCE = (f"__millrace_{x}" for x in ("rate", "copies", "rest", "unit", "up", "source"))
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA) -> DataFrame:
@@ -180,7 +180,8 @@ def with_copies(docs: DataFrame, weights: dict[str | None, float] | None = None,
     names = [f"`{c}`" for c in docs.columns]
     open_rows = first.where(F.col(_REST).isNotNull())
     ups = _tree(open_rows.select(F.col(_UNIT).alias("unit"), F.col("source").cast("string").alias("source"), F.col(_REST).alias("rest")), seed)
-    closed = open_rows.join(ups, F.col(_UNIT) == F.col("unit")).select(*names, (F.col(_COPIES) + F.col("up")).alias(_COPIES))
+    ups = ups.select(F.col("unit").alias(_UNIT), F.col("up").alias(_UP))
+    closed = open_rows.join(ups, _UNIT).select(*names, (F.col(_COPIES) + F.col(_UP)).alias(_COPIES))
     return first.where(F.col(_REST).isNull()).select(*names, _COPIES).unionAll(closed)
 
 

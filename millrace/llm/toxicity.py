@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.shared import slices
-from millrace.llm.words import words
+from millrace.llm.words import mix, words
 
 #: At most so many labelled documents are used to fit the model.
 TRAIN_ROWS = 20_000
@@ -60,22 +60,37 @@ def _pairs(v: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return 0.5 * (_sums(v, ptr) ** 2 - _sums(v * v, ptr)).sum(axis=1)
 
 
+def _again(t: np.ndarray, bits: int) -> np.ndarray:
+    """The term that says that t occurs more than once."""
+    return (mix(t.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def terms(texts: pa.Array, bits: int = BITS, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashed terms of each text, and where each text's terms begin. Terms are words and
-    their beginnings of 4 and 5 bytes, by which an inflected form is known that was never labelled.
-    among: a mask of the terms to keep.
+    their beginnings of 4 and 5 bytes, by which an inflected form is known that was never labelled,
+    and for each of these that occurs again, one that says so. among: a mask of the terms to keep.
     """
     w = words(texts, prefixes=(4, 5))
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(w.ptr))
+    near = None if among is None else among | among[_again(np.arange(1 << bits), bits)]
     keys = []
     for h in (w.h, *w.prefixes):
         t = h >> np.uint64(64 - bits)
-        if among is None:
-            keys.append((doc << np.uint64(bits)) | t)
-        else:
-            hit = among[t]
-            keys.append((doc[hit] << np.uint64(bits)) | t[hit])
-    key = np.unique(np.concatenate(keys))
+        own = doc
+        if near is not None:
+            hit = near[t]
+            t, own = t[hit], doc[hit]
+        keys.append(np.stack([own, t]))
+    # a word of 4 or 5 bytes and its beginning are two terms, each counted by itself
+    found = []
+    for own, t in keys:
+        key, times = np.unique((own << np.uint64(bits)) | t, return_counts=True)
+        more = key[times > 1]
+        twice = (more >> np.uint64(bits) << np.uint64(bits)) | _again(more & np.uint64((1 << bits) - 1), bits).astype(np.uint64)
+        found += [key, twice]
+    key = np.unique(np.concatenate(found))
+    if among is not None:
+        key = key[among[key & np.uint64((1 << bits) - 1)]]
     ptr = np.searchsorted(key >> np.uint64(bits), np.arange(len(texts) + 1, dtype=np.uint64))
     return (key & np.uint64((1 << bits) - 1)).astype(np.int32), ptr
 
@@ -94,9 +109,10 @@ def evidence(rows: list[np.ndarray], labels: np.ndarray, bits: int, prior: float
     return np.where(df[0] + df[1] > 0, odds / np.sqrt(1 / (df[1] + a1) + 1 / (df[0] + a0)), 0)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 6, rate: float = 0.1, batch: int = 256, l2: float = 1e-4, seed: int = 7, least: float = 3.0) -> Model:
-    """Logistic loss, AdaGrad, classes weighted to count alike, over the terms whose class differs
-    by at least `least` standard errors. Without both classes: a model that calls nothing toxic."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 6, rate: float = 0.1, batch: int = 256, l2: float = 1e-4, seed: int = 7, least: float = 3.0, balance: float = 0.5) -> Model:
+    """Logistic loss, AdaGrad, over the terms whose class differs by at least `least` standard errors.
+    balance: how far the rarer class is weighted up, 1 so that both count alike. Without both classes:
+    a model that calls nothing toxic."""
     labels = np.asarray(labels, np.float64)
     rng = np.random.default_rng(seed)
     if len(rows):  # copies of one document are one piece of evidence
@@ -111,7 +127,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
     rows = [x[x >= 0] for x in (slot[r] for r in rows)]
     size = len(known)
     m = Model(bits, 0.0, known, np.zeros(size, np.float32), (rng.standard_normal((size, factors)) * 0.01).astype(np.float32))
-    weight = np.where(labels > 0, len(labels) / (2 * positive), len(labels) / (2 * (len(labels) - positive)))
+    weight = np.where(labels > 0, (len(labels) / (2 * positive)) ** balance, (len(labels) / (2 * (len(labels) - positive))) ** balance)
     seen_w, seen_v, seen_b = np.full(size, 1e-6, np.float32), np.full((size, factors), 1e-6, np.float32), 1e-6
     for _ in range(epochs):
         order = rng.permutation(len(rows))
