@@ -6,6 +6,7 @@ own. Words are 64-bit hashes, so that n-grams, windows and comparisons are array
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,7 +54,7 @@ def _lowered(texts: pa.Array) -> pa.Array:
         low = pc.utf8_lower(texts)
         _, data = _flat(low)
         if len(data) and bool(((data == 0xCC) | (data == 0xCD)).any()):
-            low = pc.utf8_normalize(low, "NFC")
+            low = pa.array([unicodedata.normalize("NFC", x) for x in low.to_pylist()], pa.large_string())
         return low
     except pa.ArrowInvalid:  # bytes that are no UTF-8
         raw = texts.cast(pa.large_binary()).to_pylist()
