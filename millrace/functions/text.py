@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -27,9 +28,13 @@ def any_of(*words: str) -> str:
     return "(?:" + "|".join(words) + ")"
 
 
+def _composed(values: list) -> list:
+    return [v if v is None else unicodedata.normalize("NFC", v) for v in values]
+
+
 @F.arrow_udf(StringType())
 def _nfc(x: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(x, "NFC")
+    return pa.array(_composed(x.to_pylist()), pa.string())
 
 
 def nfc(c: Column) -> Column:
@@ -39,10 +44,7 @@ def nfc(c: Column) -> Column:
 
 @F.arrow_udf(ArrayType(StringType()))
 def _nfc_each(x: pa.Array) -> pa.Array:
-    flat = pc.utf8_normalize(x.flatten(), "NFC")
-    lengths = pc.fill_null(pc.list_value_length(x), 0)
-    offsets = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(lengths).cast(pa.int32())])
-    return pa.ListArray.from_arrays(offsets, flat, mask=pc.is_null(x))
+    return pa.array([v if v is None else _composed(v) for v in x.to_pylist()], pa.list_(pa.string()))
 
 
 def nfc_each(c: Column) -> Column:

@@ -179,7 +179,7 @@ def convert(spark: SparkSession, input: str, output: str, errors: str | None = N
         rows = checkpointed(rows.orderBy(*ORDER).limit(limit))
         if rows.count() == limit:
             last = rows.orderBy(F.desc("path"), F.desc("line")).first()
-    seen = raw.where((F.struct(*ORDER) <= F.struct(F.lit(last.path), F.lit(last.line)))) if last else raw
+    seen = raw.where((F.col("path") < last.path) | ((F.col("path") == last.path) & (F.col("line") <= last.line))) if last else raw
     found = seen.agg(F.count("*").alias("read"), F.count_if(~F.col("valid")).alias("invalid")).first().asDict()
     sinks.write_lines(rows.orderBy(*ORDER).select(sinks.json_line(*FIELDS)), output, overwrite)
     if errors:
