@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
@@ -14,6 +15,9 @@ _COMPOSABLE = (
     r"\u2329\u232A\u2ADC\uF900-\uFAFF\uFB1D-\uFB4E\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1F}]"
 )
 _CONTROL = r"[\p{Cc}\p{Cf}&&[^\n\t\x{200D}]]"
+_UNCLEAN = r"[\u00a0\p{Cc}\p{Cf}&&[^\n\t\x{200D}]]"
+#: White space beyond that of ASCII, which is what is left after the removal of control characters.
+_WIDE = r"[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 #: Line ends beyond \n that survive the removal of control characters.
 _LINES = r"[\n\u2028\u2029]"
 _ALL_LINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
@@ -28,6 +32,12 @@ def any_of(*words: str) -> str:
     return "(?:" + "|".join(words) + ")"
 
 
+def _has(c: Column, pattern: str, least: str) -> Column:
+    """Whether a pattern of characters from `least` on is met. Most texts have no such character, which
+    one range tells much faster than the pattern's many."""
+    return c.rlike(rf"[{least}-\x{{10FFFF}}]") & c.rlike(pattern)
+
+
 def _composed(values: list) -> list:
     return [v if v is None else unicodedata.normalize("NFC", v) for v in values]
 
@@ -39,7 +49,7 @@ def _nfc(x: pa.Array) -> pa.Array:
 
 def nfc(c: Column) -> Column:
     """Unicode NFC. Only texts that may change go through Arrow; the others never leave the JVM."""
-    return F.coalesce(_nfc(F.when(c.rlike(_COMPOSABLE), c)), c)
+    return F.coalesce(_nfc(F.when(_has(c, _COMPOSABLE, r"\u0300"), c)), c)
 
 
 @F.arrow_udf(ArrayType(StringType()))
@@ -49,17 +59,23 @@ def _nfc_each(x: pa.Array) -> pa.Array:
 
 def nfc_each(c: Column) -> Column:
     """nfc() for the items of a list."""
-    return F.coalesce(_nfc_each(F.when(F.exists(c, lambda x: x.rlike(_COMPOSABLE)), c)), c)
+    return F.coalesce(_nfc_each(F.when(F.exists(c, lambda x: _has(x, _COMPOSABLE, r"\u0300")), c)), c)
 
 
 def stripped(c: Column) -> Column:
     return F.regexp_replace(c, _EDGES, "")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def without_controls(c: Column) -> Column:
     """No-break spaces become spaces, line ends \\n, and control and format characters go, but for
-    tabs, line ends and the joiner of emoji."""
-    return F.regexp_replace(F.regexp_replace(F.translate(c, "\u00a0", " "), r"\r\n?", "\n"), _CONTROL, "")
+    tabs, line ends and the joiner of emoji. Texts without any, nearly all, are only looked through."""
+    done = F.regexp_replace(F.regexp_replace(F.translate(c, "\u00a0", " "), r"\r\n?", "\n"), _CONTROL, "")
+    return F.when(c.rlike(_UNCLEAN), done).otherwise(c)
 
 
 def _by_line(c: Column, ends: str) -> Column:
@@ -67,14 +83,20 @@ def _by_line(c: Column, ends: str) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
+def _quickly(c: Column) -> Column:
+    """_by_line() where spaces, tabs and \\n are the only white space, without taking lines apart."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(c, r"[ \t]{2,}|\t", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+
+
 def one_line(c: Column) -> Column:
     """Every run of white space becomes a space."""
-    return F.trim(F.regexp_replace(without_controls(c), _SPACE, " "))
+    plainly = lambda t: F.regexp_replace(t, r"[ \t\n]{2,}|[\t\n]", " ")
+    return F.trim(let(without_controls(c), lambda t: F.when(_has(t, _WIDE, r"\u1680"), F.regexp_replace(t, _SPACE, " ")).otherwise(plainly(t))))
 
 
 def kept_lines(c: Column) -> Column:
     """Lines are kept, each with single spaces and without edges; blank ones go."""
-    return _by_line(without_controls(c), _LINES)
+    return let(without_controls(c), lambda t: F.when(_has(t, _WIDE, r"\u1680"), _by_line(t, _LINES)).otherwise(_quickly(t)))
 
 
 def normalized(c: Column, lines: bool = False) -> Column:
