@@ -15,7 +15,7 @@ from millrace.operators.recipe import Rulebook, cleaned, converted, slim, traini
 from millrace.operators.route import CLEAN, REJECTED, REVIEW, deduplicated, routed
 from millrace.operators.sampling import reservoir, selection, taking, with_ordinal
 from millrace.operators.rules import document_of
-from millrace.session import checkpointed, prepared
+from millrace.session import checkpointed, prepared, sealed
 from millrace.sources import lines as sources, sinks
 
 ORDER = ["path", "line"]
@@ -47,7 +47,7 @@ def _limited(text: DataFrame, limit: int | None) -> DataFrame:
 def cleaning(text: DataFrame, book: Rulebook, deduplicate: bool = True) -> DataFrame:
     """Non-blank lines as routed records, with the training row of each. One shuffle, on the dedup key."""
     df = routed(anomalies(cleaned(records(text), book)))
-    df = deduplicated(df) if deduplicate else df
+    df = deduplicated(df) if deduplicate else sealed(df)
     return df.withColumn("row", F.when(F.col("route").isin(CLEAN, REVIEW), training_row(F.col("name"), F.col("output"))))
 
 

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: JSON objects may name a key twice; the last value counts.
 VARIANT = ("spark.sql.variant.allowDuplicateKeys", "true")
@@ -39,6 +39,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """df behind a filter that lets all pass and that nothing can be moved across. Without it the
+    optimizer merges what follows with long expressions below, which would then stand there several
+    times over; planning takes minutes, and so might the query."""
+    return df.withColumn("_sealed", F.rand(0)).where("_sealed >= 0").drop("_sealed")
+
+
 def shipped(spark: SparkSession) -> SparkSession:
     """spark, whose executors can import this package wherever the driver was started."""
     sc = spark.sparkContext

@@ -11,7 +11,7 @@ from millrace.functions.variant import records
 from millrace.operators.anomalies import anomalies
 from millrace.operators.recipe import Rulebook, cleaned
 from millrace.operators.route import CLEAN, routed
-from millrace.session import prepared
+from millrace.session import prepared, sealed
 
 
 def arriving(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -27,12 +27,7 @@ def cleaned_stream(lines: DataFrame, book: Rulebook | None = None) -> DataFrame:
 
 
 def first_in_time(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The clean records of a stream, each content once within the watermark.
-
-    The random column keeps the filter above the projection that computes the route. Pushed below it,
-    the filter would hold all of cleaning once more, and the optimizer would not come to an end.
-    """
+    """The clean records of a stream, each content once within the watermark."""
     key = content_key(F.col("name"), F.col("recipeIngredient"), F.col("recipeInstructions"))
-    still = stream.withColumn("_still", F.rand(0))
-    clean = still.where((F.col("route") == CLEAN) & (F.col("_still") >= 0)).drop("_still").withColumn("key", key)
+    clean = sealed(stream).where(F.col("route") == CLEAN).withColumn("key", key)
     return clean.withWatermark("at", delay).dropDuplicatesWithinWatermark(["key"])
