@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import argparse
-import json
 import sys
+from argparse import ArgumentParser, ArgumentTypeError
+from json import dumps
 from pathlib import Path
 
 from millrace.operators import diagnosis
@@ -16,33 +16,41 @@ from millrace.sources import lines
 def _positive(text: str) -> int:
     n = int(text)
     if n <= 0:
-        raise argparse.ArgumentTypeError("must be greater than 0")
+        raise ArgumentTypeError("must be greater than 0")
     return n
 
 
+def _numbers(parser: ArgumentParser, kind=int, **defaults: int) -> None:
+    for name, value in defaults.items():
+        parser.add_argument("--" + name.replace("_", "-"), type=kind, default=value)
+
+
+def _switches(parser: ArgumentParser, *names: str) -> None:
+    for name in names:
+        parser.add_argument("--" + name, action="store_true")
+
+
 def _beside(path: str, suffix: str, ending: str) -> str:
     p = Path(path)
     stem = p.name.removesuffix(".gz")
     return str(p.with_name(Path(stem).stem + suffix + ending))
 
 
-def parser() -> argparse.ArgumentParser:
-    top = argparse.ArgumentParser(prog="millrace")
+def parser() -> ArgumentParser:
+    top = ArgumentParser(prog="millrace")
     sub = top.add_subparsers(dest="command", required=True)
 
     def command(name: str, *positional: str):
         p = sub.add_parser(name)
         for x in positional:
             p.add_argument(x)
-        p.add_argument("--progress-every", type=int, default=100_000, help="accepted and ignored; Spark reports progress")
+        _numbers(p, progress_every=100_000)  # accepted; Spark reports progress itself
         return p
 
     def mining(p) -> None:
         p.add_argument("--sample-size", type=_positive, default=100_000)
-        p.add_argument("--seed", type=int, default=20260722)
-        p.add_argument("--min-typo-count", type=_positive, default=3)
-        p.add_argument("--min-protected-count", type=_positive, default=10)
-        p.add_argument("--min-ingredient-protected-count", type=_positive, default=30)
+        _numbers(p, seed=20260722)
+        _numbers(p, _positive, min_typo_count=3, min_protected_count=10, min_ingredient_protected_count=30)
         p.add_argument("--scan-limit", type=_positive)
 
     def rules(p) -> None:
@@ -52,49 +60,49 @@ def parser() -> argparse.ArgumentParser:
     p = command("run", "input")
     p.add_argument("--output-dir", default="pipeline_output")
     mining(p)
-    p.add_argument("--with-audit", action="store_true")
+    _switches(p, "with-audit")
     p.add_argument("--target-count", type=_positive)
-    p.add_argument("--selection-seed", type=int, default=20260722)
-    p.add_argument("--overwrite", action="store_true")
+    _numbers(p, selection_seed=20260722)
+    _switches(p, "overwrite")
     p = command("bootstrap", "input", "output_dir")
     mining(p)
     for x in ("--base-typo-rules", "--base-protected-words", "--canonical-terms", "--confusion-map"):
         p.add_argument(x)
     p = command("audit", "input", "report")
     rules(p)
-    p.add_argument("--examples", type=int, default=5)
+    _numbers(p, examples=5)
     p.add_argument("--limit", type=_positive)
     p = command("clean", "input", "output")
     rules(p)
     for x in ("--review", "--rejected", "--report"):
         p.add_argument(x)
-    p.add_argument("--no-deduplicate", action="store_true")
+    _switches(p, "no-deduplicate")
     p.add_argument("--target-count", type=_positive)
-    p.add_argument("--selection-seed", type=int, default=20260722)
+    _numbers(p, selection_seed=20260722)
     p.add_argument("--scan-limit", type=_positive)
-    p.add_argument("--overwrite", action="store_true")
+    _switches(p, "overwrite")
     p = command("sample")
     p.add_argument("input", nargs="?", default="pipeline_output/recipe_train_clean.jsonl")
     p.add_argument("--output-dir", default="training_sample")
     p.add_argument("--output-name", default="recipe_train_sample.jsonl")
     p.add_argument("--sample-size", type=_positive, default=100_000)
-    p.add_argument("--seed", type=int, default=20260810)
-    p.add_argument("--overwrite", action="store_true")
+    _numbers(p, seed=20260810)
+    _switches(p, "overwrite")
     p = command("convert", "input", "output")
     p.add_argument("--errors")
     p.add_argument("--limit", type=_positive)
-    p.add_argument("--overwrite", action="store_true")
+    _switches(p, "overwrite")
     p = command("holdout")
     for x in ("--source", "--train", "--output", "--report"):
         p.add_argument(x, required=True)
     p.add_argument("--count", type=_positive, default=1000)
-    p.add_argument("--seed", type=int, default=20260811)
+    _numbers(p, seed=20260811)
     p = command("rank", "root")
     p = command("status")
     for x in ("--status-file", "--output-dir", "--log-file"):
         p.add_argument(x)
     p.add_argument("--alive", action="store_true", help="the training process is known to run")
-    p.add_argument("--json", action="store_true")
+    _switches(p, "json")
     return top
 
 
@@ -128,14 +136,14 @@ def main(argv: list[str] | None = None) -> int:
             folder = a.output_dir or status.get("output_dir")
             steps = [lines.checkpoint_step(p.name) for p in lines.checkpoints(folder)] if folder else []
             out = diagnosis.report(spark, lines.tail(str(log).removeprefix("file:")) if log else "", status, a.alive, steps)
-            print(json.dumps(out, ensure_ascii=False, indent=2))
+            print(dumps(out, ensure_ascii=False, indent=2))
             return out["exit"]
     except (OSError, ValueError) as error:
         print(f"错误：{error}", file=sys.stderr)
         return 2 if a.command == "sample" else 1
-    print(json.dumps(out, ensure_ascii=False, indent=2))
+    print(dumps(out, ensure_ascii=False, indent=2))
     return 0
 
 
 if __name__ == "__main__":
-    raise SystemExit(main())
+    sys.exit(main())

@@ -7,7 +7,8 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
-PROMPTS = ("{name}怎么做？", "在家怎么做{name}？", "做{name}需要哪些食材和步骤？", "{name}的家常做法是什么？", "能告诉我{name}怎么做吗？")
+_AROUND = (("", "怎么做"), ("在家怎么做", ""), ("做", "需要哪些食材和步骤"), ("", "的家常做法是什么"), ("能告诉我", "怎么做吗"))
+PROMPTS = tuple(f"{before}{{name}}{after}？" for before, after in _AROUND)
 
 
 def blake2b(c: Column, size: int) -> Column:

@@ -23,8 +23,8 @@ _LINES = r"[\n\u2028\u2029]"
 _ALL_LINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 _SPACE = r"(?U)[\s\x1C-\x1F]+"
 _EDGES = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
-UNKNOWN = ("", "unknown", "none", "null", "未知", "无")
-_PLAIN = r"[\u4e00-\u9fffA-Za-z0-9]"
+UNKNOWN = ("", *"无 未知 null none unknown".split())
+_PLAIN = "[0-9A-Za-z一-鿿]"
 
 
 def any_of(*words: str) -> str:

@@ -9,11 +9,12 @@ from millrace.operators.base_rules import CONTACT
 from millrace.operators.recipe import FLAG, UNITS, _flag, _when, is_generic_title, output_text
 
 MOST, LEAST = 8_000, 35
-_NUMBER = r"\d+(?:\.\d+)?"
+_POINT = r"(?:\.\d+)?"
+_NUMBER = rf"\d+{_POINT}"
 _CELSIUS = rf"(?iuU)(-?{_NUMBER})\s*(?:摄氏度|℃|°\s*C)"
-_DEGREES = r"(?U)(\d{3,4}(?:\.\d+)?)\s*度"
+_DEGREES = rf"(?U)(\d{{3,4}}{_POINT})\s*度"
 _DURATION = rf"(?U)({_NUMBER})\s*(分钟|小时|天)"
-_AMOUNT = r"(?iuU)(\d{5,}(?:\.\d+)?)\s*(?:毫升|克|ml|g)(?![A-Za-z])"
+_AMOUNT = rf"(?iuU)(\d{{5,}}{_POINT})\s*" + any_of("毫升", "克", "ml", "g") + "(?![A-Za-z])"
 _SLOW = any_of(*"内吃完 冷藏 冷冻 保存 存放 密封 保质 赏味 浸泡 泡发 泡菜 发酵 醒发 醒面 风干 盐渍 咸蛋 腌 腊 酿 晾 晒".split())
 _SLOW_TITLE = any_of(*"果脯 蜜饯 泡菜 咸蛋 风干 发酵 盐渍 腌 腊 酿 酒".split())
 _POULTRY = r"(?:左右|以上|以下)?(?:大的|的)?\s*仔?[鸡鸭鹅鸽]"

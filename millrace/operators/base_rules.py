@@ -10,8 +10,8 @@ _D, _I, _S = "description", "recipeIngredient", "recipeInstructions"
 _LOOK = any_of("看", "见", "参考")
 _PICTURE = any_of("图片", "图", "视频")
 _WHICH = any_of("[一二三]", r"\d+") + "?"
-_HANDS = r"[\x{1F446}\x{1F447}\x{1F449}\x{1F3FB}-\x{1F3FF}\s]*(?:哈+)?[。.!！]?\s*$"
-_ACCOUNT = any_of("微信公众号", "公众号", "个人微信", "微信", "新浪微博", "微博", "vx", "v信") + r"\s*[:：]?\s*[@A-Za-z0-9_-]{5,}"
+_HANDS = r"[\x{1F446}\x{1F447}\x{1F449}\x{1F3FB}-\x{1F3FF}\s]*哈*[!！.。]?\s*$"
+_ACCOUNT = any_of("微信公众号", "公众号", "个人微信", "微信", "新浪微博", "微博", "vx", "v信") + r"\s*[：:]?\s*[a-zA-Z_0-9@-]{5,}"
 _SHOWN = any_of("如下图", "如图", "上图", "下图")
 
 CONTACT = _ACCOUNT

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_PROGRESS = r"(\d+)%\|[^\r\n]*?\|\s*(\d+)/(\d+)"
-_LOSS = r"\{'loss':\s*'([^']+)'" + "".join(rf"[^\r\n]*?'{k}':\s*'([^']+)'" for k in ("learning_rate", "epoch"))
+_N, _V, _REST = r"(\d+)", r"\s*'([^']+)'", r"[^\r\n]*?"
+_PROGRESS = rf"{_N}%\|{_REST}\|\s*{_N}/{_N}"
+_LOSS = rf"\{{'loss':{_V}" + "".join(f"{_REST}'{k}':{_V}" for k in ("learning_rate", "epoch"))
 LINE_CHARS = 1200
 
 #: Category, what its lines contain, and what to do; the first that the log contains counts.
@@ -20,7 +21,7 @@ CHECKS = [
     ("启动或配置检查失败", ["permission denied", "error: 找不到", "错误："], ["按关键错误修正路径、权限、依赖或参数后重新训练。"]),
 ]
 _PYTHON = "Python 运行异常"
-_RAISED = ["error:", "exception:", "runtimeerror:", "valueerror:", "typeerror:"]
+_RAISED = [f"{x}:" for x in "error exception typeerror valueerror runtimeerror".split()]
 
 
 def last_match(text: Column, pattern: str, groups: int) -> Column:
@@ -80,7 +81,7 @@ def report(spark: SparkSession, tail: str, status: dict, alive: bool, steps: lis
     at = state(status.get("state"), alive, row.category, row.ended)
     todo = next((s for n, _, s in CHECKS if n == row.category), [])
     return {
-        "state": at, "recorded_state": status.get("state"), "pid": status.get("pid"), "pid_alive": alive, "exit_code": status.get("exit_code"),
+        "state": at, "recorded_state": status.get("state"), "exit_code": status.get("exit_code"), "pid_alive": alive, "pid": status.get("pid"),
         "progress": row.progress and dict(zip(("percent", "step", "total_steps"), row.progress)), "metrics": row.metrics and dict(zip(("loss", "learning_rate", "epoch"), row.metrics)),
         "checkpoints": steps, "error_category": row.category, "error_detail": row.detail, "suggestions": todo, "exit": EXIT.get(at, 3),
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,10 +20,10 @@ _NO_FOOD = "锅 主锅 高压锅 面包机 烤箱 烤盘 模具 容器 工具 
 _VAGUE = "适量 少量 少许 若干 多一些 看量 据个人量 据食量口味自定义 自己看着办 用量勺 小料 材料 馅儿料 镜面用".split()
 _COUNT = "^[一二两三四五六七八九十半几]+[小大整]?" + any_of("汤匙", "茶匙", *"个只片根颗粒块杯碗勺匙撮瓣条朵头枚份盒把")
 _MEASURE_END = "半?[个只片根颗粒块杯勺匙瓣条朵头枚份盒把]$"
-_ASIDE_END = any_of("装饰用", "适量", "少量", "少许", "若干", "备用", "可选") + "$"
+_ASIDE_END = any_of(*"备用 可选 装饰用 若干 少许 少量 适量".split()) + "$"
 
 
-def variants(term: str, confused: dict[str, list[str]]) -> set[str]:
+def variants(term: str, confused: Mapping) -> set[str]:
     """The term with one character replaced by one it is mistaken for."""
     return {term[:i] + wrong + term[i + 1 :] for i, c in enumerate(term) for wrong in confused.get(c, ())}
 

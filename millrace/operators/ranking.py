@@ -73,7 +73,7 @@ def collected(documents: DataFrame, lines: DataFrame) -> list[dict]:
 
         rate = lambda n: round(n * 100 / r.samples, 4)
         out.append({
-            "name": r.run, "checkpoint_path": m.get("checkpoint_path", ""), "step": checkpoint_step(r.run), **{k: round(number(m.get(v)), 4) for k, v in METRICS.items()},
+            "name": r.run, "step": checkpoint_step(r.run), "checkpoint_path": m.get("checkpoint_path") or "", **{k: round(number(m.get(v)), 4) for k, v in METRICS.items()},
             "samples": r.samples, "empty_rate": rate(r.empty), "recipe_format_rate": rate(r.formatted), "numbered_steps_rate": rate(r.numbered), "thinking_leak_rate": rate(r.thinking),
             "mean_length_ratio": round(r.mean, 4), "median_length_ratio": round(r.median, 4),
         })
@@ -81,7 +81,7 @@ def collected(documents: DataFrame, lines: DataFrame) -> list[dict]:
 
 
 def is_candidate(row: dict) -> bool:
-    return row["step"] >= 0 or row["name"] == "final_model"
+    return row["name"] == "final_model" or row["step"] > -1
 
 
 RANK = ("rouge_l", "rouge_2", "recipe_format_rate", "bleu_4")

@@ -19,7 +19,7 @@ from millrace.session import checkpointed, prepared, sealed
 from millrace.sources import lines as sources, sinks
 
 ORDER = ["path", "line"]
-NOTES = {"record_counts": "每条食谱的同类问题或规则最多计数一次", "occurrence_or_application_counts": "同一食谱内的多次命中分别计数"}
+NOTES = {"occurrence_or_application_counts": "同一食谱内的多次命中分别计数", "record_counts": "每条食谱的同类问题或规则最多计数一次"}
 
 
 def rulebook(typos: str | None = None, noise: str | None = None, words: str | None = None) -> Rulebook:
@@ -88,7 +88,7 @@ def clean(spark: SparkSession, input: str, output: str, review: str, rejected: s
     document = {
         "pipeline_version": __version__, "input": input, "output": output, "summary": {k: v for k, v in found.items() if v}, **_counts(df),
         "selection": {"requested": target_count, "selected": found["clean"], "seed": selection_seed if target_count is not None else None, "stage": "after_cleaning_validation_and_deduplication"},
-        "quality_policy": {"unicode_normalization": "NFC", "min_output_chars": LEAST, "max_output_chars": MOST, "flagged_records_are_routed_to_review": True},
+        "quality_policy": {"max_output_chars": MOST, "min_output_chars": LEAST, "unicode_normalization": "NFC", "flagged_records_are_routed_to_review": True},
     }
     sinks.write_document(document, report)
     return document
@@ -194,7 +194,7 @@ def prepare_holdout(spark: SparkSession, source: str, train: str, output: str, r
     rows, document = holdout(_read(spark, source)[0], _read(spark, train)[0], count, seed)
     lines = checkpointed(rows.select("digest", sinks.json_line(*FIELDS))).orderBy("digest")
     sinks.write_lines(lines, output, overwrite)
-    document = {"source_file": source, "train_file": train, "output_file": output, **document, "output_sha256": sinks.content_sha256(lines), "disjoint_rule": "BLAKE2b-128 over normalized instruction/input/output"}
+    document = {"source_file": source, "train_file": train, "output_file": output, **document, "output_sha256": sinks.content_sha256(lines), "disjoint_rule": "no two rows share a BLAKE2b-128 of their three stripped fields"}
     sinks.write_document(document, report)
     return document
 

@@ -81,8 +81,8 @@ def latest_log(spark: SparkSession, folder: str, glob: str = "train_*.log") -> s
 
 def checkpoint_step(name: str) -> int:
     """The number of checkpoint-N; -1 for any other name."""
-    found = re.fullmatch(r"checkpoint-(\d+)", name)
-    return int(found[1]) if found else -1
+    prefix, _, number = name.partition("-")
+    return int(number) if prefix == "checkpoint" and re.fullmatch(r"\d+", number) else -1
 
 
 def checkpoints(folder: str | Path) -> list[Path]:

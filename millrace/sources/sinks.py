@@ -57,7 +57,7 @@ def write_text(text: str, path: str | Path) -> None:
     path.parent.mkdir(parents=True, exist_ok=True)
     beside = path.with_name(f".{path.name}.{os.getpid()}.tmp")
     try:
-        beside.write_text(text, encoding="utf-8", newline="\n")
+        beside.write_bytes(text.encode())
         os.replace(beside, path)
     finally:
         beside.unlink(missing_ok=True)

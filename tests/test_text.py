@@ -19,7 +19,9 @@ ODD = ["红　烧​肉", " a b\t\tc ", "x\r\ny\rz\n\n  \n w ", "é n", "\x0
 
 def python_normalize(value, lines):
     """What the functions must do, said in plain Python."""
-    value = unicodedata.normalize("NFC", value or "").replace(" ", " ").replace("\r\n", "\n").replace("\r", "\n")
+    value = unicodedata.normalize("NFC", value or "")
+    for old, new in (("\xa0", " "), ("\r\n", "\n"), ("\r", "\n")):
+        value = value.replace(old, new)
     value = "".join(c for c in value if c in "\n\t‍" or unicodedata.category(c) not in ("Cc", "Cf"))
     if not lines:
         return " ".join(value.split())
