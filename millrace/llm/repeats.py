@@ -4,7 +4,8 @@ Documents are joined on winnowed anchors. Around an anchor a match of MIN_WORDS
 of words to the left and the rest to the right; for each of those splits the occurrences are grouped
 by a hash of the words, which costs n rather than n * n comparisons however many documents share the
 passage, and each is linked to the first of another document. Links that continue each other on one
-diagonal are joined into maximal matches, and what lies within another match of the document goes.
+diagonal are joined, and each is carried on through the passages where its two documents name a third
+one, as far as they have the same words.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from millrace.llm.shared import written
 from millrace.llm.words import mix, span_hash
 
 _NAMES = ["anchor", "segment", "role", "key", "first", "skip", "windows", "hub_key", "hub_at", "far_key", "far_at"]
+#: Links are looked up by parts of so many words of a document.
+_NEAR = 256
 
 
 def matches(lot: pa.Table, least: int) -> list[np.ndarray]:
@@ -60,12 +63,44 @@ def joined(spans: DataFrame, *by: str) -> DataFrame:
     return island.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
 
 
+def extended(links: DataFrame, min_words: int) -> DataFrame:
+    """links: (key, match_key, diagonal, start, stop, far), all words of a document that others share
+    being in its links that are not far, which go to the first place of the words, maybe its own. The
+    links to other documents, as far as both have the same words.
+
+    Words of key and match_key are the same where both go to one place. A link can be longer if that is
+    so for the window before or after it, which the links near there tell. For those that can, all
+    links of the same stretch of shared words are looked through."""
+    order = W.partitionBy("key").orderBy("start", "stop", "match_key", "diagonal", "far")
+    links = links.withColumn("gap", F.coalesce(F.col("start") > F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    links = links.withColumn("stretch", F.sum("gap").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("gap")
+    links = written(links, "links")
+    one, out = ["key", "stretch", "match_key", "diagonal"], ["key", "match_key", "diagonal", "start", "stop"]
+    named = links.where("far or key <> match_key")
+    mine = links.where("not far").select("key", "stretch", F.col("match_key").alias("hub"), F.col("diagonal").alias("to_hub"), "start", "stop")
+    theirs = mine.select(F.col("key").alias("match_key"), "hub", F.col("to_hub").alias("theirs"), F.col("start").alias("its_start"), F.col("stop").alias("its_stop"))
+    other, theirs_is = "hub <> match_key or to_hub <> diagonal", F.col("to_hub") - F.col("diagonal")
+    # windows just before and after a link, with the links of the document that hold them
+    ends = named.select(*one, F.explode(F.array(F.col("start") - 1, F.col("stop") - min_words + 1)).alias("at"))
+    ends = ends.withColumn("near", F.floor(F.col("at") / _NEAR))
+    held = mine.withColumn("near", F.explode(F.sequence(F.floor(F.col("start") / _NEAR), F.floor((F.col("stop") - min_words) / _NEAR))))
+    ends = ends.join(held, ["key", "stretch", "near"]).where(f"start <= at and stop >= at + {min_words}").where(other)
+    ends = ends.withColumn("theirs", theirs_is).select(*one, "hub", "theirs", "at").join(theirs, ["match_key", "hub", "theirs"])
+    open_ = written(ends.where(f"its_start <= at + diagonal and its_stop >= at + diagonal + {min_words}").select(*one).distinct(), "open")
+    via = open_.join(mine, ["key", "stretch"]).where(other).withColumn("theirs", theirs_is).join(theirs, ["match_key", "hub", "theirs"])
+    via = via.select("key", "match_key", "diagonal", F.greatest("start", F.col("its_start") - F.col("diagonal")).alias("start"), F.least("stop", F.col("its_stop") - F.col("diagonal")).alias("stop")).where("start < stop")
+    grown = joined(named.join(open_, one, "left_semi").select(*out).unionAll(via), "key", "match_key", "diagonal").where(F.col("stop") - F.col("start") >= min_words)
+    return named.join(open_, one, "left_anti").select(*out).unionAll(grown.select(*out))
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start_word, n_words, match_doc_id, match_start): the maximal passages of at least
-    min_words words that a document shares with another one, in words of the lower-cased texts. Every
-    shared window of min_words words lies in one of its document's rows. Of several documents that
-    share a window the least is named (for that one itself, the greatest), and a row goes as far as
-    the same document is named on; where that changes, the rows overlap.
+    """(doc_id, start_word, n_words, match_doc_id, match_start): maximal passages of at least
+    min_words words that a document shares with another one, in words of the lower-cased texts: no row
+    could be longer at either end. Wherever a shared window of min_words words occurs, a row of that
+    document holds it and names the least document that has it (that one itself: the greatest). So the
+    rows connect all places of a passage, by which any two of its documents are found, and their
+    number grows with the places, not with the pairs. Pairs that only meet in a third document have
+    no row of their own.
 
     Null, empty and shorter texts share nothing. Rows without doc_id cannot be named and are left
     out; rows with the same id are one document, and what repeats only within a document is not
@@ -87,13 +122,14 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.col("hub.key").alias("hub_key"), (F.col("hub.pos") - F.col("pos") + F.col("first")).alias("hub_at"),
         F.col("other.key").alias("far_key"), (F.col("other.pos") - F.col("pos") + F.col("first")).alias("far_at"),
     )
-    start, near = F.col("first") + F.col("skip"), F.col("key") != F.col("hub_key")
+    start = F.col("first") + F.col("skip")
     found = [
-        x.select("key", start.alias("start"), (start + F.col("windows") + min_words - 1).alias("stop"), F.when(near, F.col("hub_key")).otherwise(F.col("far_key")).alias("match_key"), (F.when(near, F.col("hub_at")).otherwise(F.col("far_at")) - start).alias("diagonal"))
+        x.select("key", start.alias("start"), (start + F.col("windows") + min_words - 1).alias("stop"), "hub_key", (F.col("hub_at") - start).alias("to_hub"), "far_key", (F.col("far_at") - start).alias("to_far"))
         for x in (runs.where("role = 0"), varied, plain)
     ]
-    spans = joined(found[0].unionAll(found[1]).unionAll(found[2]), "key", "match_key", "diagonal")
-    order = [F.asc("start"), F.desc("stop"), F.asc("match_key"), F.asc("diagonal")]
-    reach = F.max("stop").over(W.partitionBy("key").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-    kept = spans.withColumn("reach", reach).where("reach is null or stop > reach")
+    found = found[0].unionAll(found[1]).unionAll(found[2])
+    by = ("key", "match_key", "diagonal")
+    near = joined(found.select("key", F.col("hub_key").alias("match_key"), F.col("to_hub").alias("diagonal"), "start", "stop"), *by)
+    far = joined(found.where("key = hub_key").select("key", F.col("far_key").alias("match_key"), F.col("to_far").alias("diagonal"), "start", "stop"), *by)
+    kept = extended(near.withColumn("far", F.lit(False)).unionAll(far.withColumn("far", F.lit(True))), min_words)
     return kept.select(F.col("key").alias("doc_id"), F.col("start").alias("start_word"), (F.col("stop") - F.col("start")).alias("n_words"), F.col("match_key").alias("match_doc_id"), (F.col("start") + F.col("diagonal")).alias("match_start"))

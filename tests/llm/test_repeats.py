@@ -71,6 +71,54 @@ def test_copies_in_thousands_cost_no_pairs(spark):
     assert len(got) == 3000 and {(r.start_word, r.n_words) for r in got} == {(0, 200)}
 
 
+def assert_whole(rows, found, least):
+    """Matches can't be longer at either end, and connect all places of each window that documents share."""
+    text = {i: cases.words(t) for i, t in rows}
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in found:
+        a, b, s, m = text[r.doc_id], text[r.match_doc_id], r.start_word, r.match_start
+        assert a[s : s + r.n_words] == b[m : m + r.n_words] and r.n_words >= least
+        assert not (s and m) or a[s - 1] != b[m - 1]
+        assert max(s + r.n_words - len(a), m + r.n_words - len(b)) == 0 or a[s + r.n_words] != b[m + r.n_words]
+        for k in range(r.n_words - least + 1):
+            root[top((r.doc_id, s + k))] = top((r.match_doc_id, m + k))
+    places = collections.defaultdict(list)
+    for i, w in text.items():
+        for k in range(len(w) - least + 1):
+            places[tuple(w[k : k + least])].append((i, k))
+    for at in places.values():
+        if len({i for i, _ in at}) > 1:
+            assert len({top(x) for x in at}) == 1
+
+
+@pytest.mark.parametrize("n", [60, 98, 120])
+def test_copies_that_share_a_passage_with_a_lesser_document(spark, n):
+    p = " ".join(f"p{i}" for i in range(n))
+    whole = " ".join(f"x{i}" for i in range(440)) + f" {p} " + " ".join(f"y{i}" for i in range(440))
+    rows = [(1, f"some words before {p} and after"), (2, whole), (3, whole)]
+    found = repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id, r.start_word, r.n_words, r.match_doc_id, r.match_start) for r in found)
+    size = 880 + n
+    assert got == [(1, 3, n, 3, 440), (2, 0, size, 3, 0), (2, 440, n, 1, 3), (3, 0, size, 2, 0), (3, 440, n, 1, 3)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mosaics_are_whole(spark, seed):
+    rng = np.random.default_rng(seed)
+    parts = [" ".join(f"s{p}w{i}" for i in range(rng.integers(5, 45))) for p in range(12)]
+    rows = [(i, " ".join(f"own{i}x{k}" if rng.random() < 0.1 else parts[rng.integers(0, 12)] for k in range(rng.integers(2, 14)))) for i in range(25)]
+    rows += [(100 + i, f"{rows[i][1]} {rows[i + 1][1]}") for i in range(8)]
+    found = repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()
+    assert found
+    assert_whole(rows, found, 20)
+
+
 def test_suffix_order_and_common_prefixes(tmp_path):
     rng = np.random.default_rng(0)
     for trial in range(60):
