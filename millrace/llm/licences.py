@@ -25,6 +25,11 @@ _NOTICE = (
     r"(?:licen[cs]ed|released|distributed|made available|available|published) under (?:the terms of )?(?:the )?"
 )
 
+#: What the scan uses; the SQL has the narrower patterns above. Version 3 notices go on in the same line
+#: after `free software:`, and a name may follow `a` or `an`.
+_SCAN_END = r"((?i:free[ \t\r\n#*/-]+software:))[ \t]+|" + _END
+_SCAN_NOTICE = _NOTICE.removesuffix("(?:the )?") + "(?:the |an? )?"
+
 
 def normalised(sentence: str) -> str:
     """The words of a sentence; a notice is cut down to `under` and the name of the licence."""
@@ -149,13 +154,13 @@ RULES = _rules()
 
 
 def _normal(c: Column) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(c), _NO_WORD, " ")), _NOTICE, "under ")
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(c), _NO_WORD, " ")), _SCAN_NOTICE, "under ")
 
 
 def licence_sentences(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order. A line break ends a sentence only
     where the sentence with its line breaks is unknown."""
-    pieces = F.split(F.regexp_replace(text, _END, "$1" + _MARK), _MARK)
+    pieces = F.split(F.regexp_replace(text, _SCAN_END, "$1$2" + _MARK), _MARK)
     known = lambda c: c.isin(list(SENTENCES))  # noqa: E731 - planned as a hash set
 
     def words(piece: Column) -> Column:

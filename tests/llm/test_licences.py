@@ -59,6 +59,30 @@ def test_licences_are_recognised(spark):
     assert got == {i: (name, n) for i, (_, name, n) in TEXTS.items() if name is not None}
 
 
+VERSION_3 = """    This {it} is free software: you can redistribute it and/or modify
+    it under the terms of the GNU {name} Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This {it} is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU {name} Public License for more details.
+"""
+NOTICES = [
+    (VERSION_3.format(it="program", name="General"), "GPL-3.0-or-later"), (VERSION_3.format(it="library", name="Lesser General"), "LGPL-3.0-or-later"),
+    (VERSION_3.format(it="program", name="Affero General"), "AGPL-3.0-or-later"), (VERSION_3.format(it="program", name="General").replace("    ", " * "), "GPL-3.0-or-later"),
+    (" ".join(VERSION_3.format(it="program", name="General").split()), "GPL-3.0-or-later"), (VERSION_3.format(it="program", name="General").replace("is free software", "is free\n    software"), "GPL-3.0-or-later"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"), ("Released under an MIT license.", "MIT"),
+]
+
+
+def test_notices_of_version_3_and_with_an_article(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(NOTICES)]
+    got = {r.doc_id: (r.licences, r.unmatched) for r in licences.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (name, 0) for i, (_, name) in enumerate(NOTICES)}
+
+
 def test_plan_has_no_shuffle_and_no_python(spark):
     df = spark.createDataFrame([(1, MIT)], "doc_id long, text string")
     plan = licences.licences(df)._jdf.queryExecution().executedPlan().toString()
