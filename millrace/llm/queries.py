@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.llm import audio, leaks, licences, mixing, near, quotes, repeats, suffix, tokens, toxicity
+from millrace.llm.words import sql_words
 
 
 def _table(spark, sf_dir, name):
@@ -57,7 +58,7 @@ def op10_seed_and_extend(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_licences, op3_suffix_array, op4_quotation_linking, op5_mpeg_audio, op6_token_ids, op7_mixing, op8_decontamination, op9_toxicity, op10_seed_and_extend)}
 
-_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_WORDS = sql_words()
 
 ORACLES = {
     "op2_licences": licences.oracle(),

@@ -3,6 +3,10 @@
 score(x) = b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j, where x_i is 1 if a term that hashes to i
 is in the document. The pairwise part is what additive weights miss: two terms that are harmless
 alone and toxic together. Terms are the distinct words of the whole text. They are capped in no way.
+
+Before the machine is fitted, terms without evidence are left out: a term stays if its class differs by
+itself, or if a pair that it belongs to says what its two terms don't say each by itself. With all terms
+in, the machine learns its few labelled rows by heart.
 """
 
 from __future__ import annotations
@@ -21,6 +25,10 @@ TRAIN_ROWS = 20_000
 BITS = 20
 FACTORS = 4
 THRESHOLD = 0.5
+#: Standard errors that the evidence of a pair of terms must have, and the least share of the rows that
+#: hold a term whose pairs are looked at.
+PAIR_LEAST = 7.0
+PAIR_SHARE = 0.02
 
 
 @dataclass
@@ -35,17 +43,25 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Probabilities. A text without a single known term, a null or empty one too, has 0."""
-        t, ptr = terms(texts, self.bits, self._slots() >= 0)
-        at = self._slots()[t]
+        slot, among, near = self._slots()
+        t, ptr = terms(texts, self.bits, among, near)
+        at = slot[t]
         margin = self.bias + _sums(self.linear[at], ptr) + _pairs(self.factors[at], ptr)
         return np.where(ptr[1:] > ptr[:-1], 1 / (1 + np.exp(-np.clip(margin, -30, 30))), 0.0)
 
-    def _slots(self) -> np.ndarray:
+    def _slots(self) -> tuple[np.ndarray, ...]:
+        """The place of each term in the weights or -1, whether it has one, and whether it or the term
+        for its repetition has one."""
         if not hasattr(self, "_slot"):
-            self._slot = np.full(1 << self.bits, -1, np.int32)
-            self._slot[self.known] = np.arange(len(self.known), dtype=np.int32)
+            slot = np.full(1 << self.bits, -1, np.int32)
+            slot[self.known] = np.arange(len(self.known), dtype=np.int32)
+            among = slot >= 0
+            self._slot = slot, among, among | among[_again(np.arange(1 << self.bits), self.bits)]
         return self._slot
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_slot"}
+
 
 def _sums(x: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     """Sums of x over ptr[i]:ptr[i + 1], 0 for an empty range."""
@@ -65,14 +81,14 @@ def _again(t: np.ndarray, bits: int) -> np.ndarray:
     return (mix(t.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def terms(texts: pa.Array, bits: int = BITS, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def terms(texts: pa.Array, bits: int = BITS, among: np.ndarray | None = None, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashed terms of each text, and where each text's terms begin. Terms are words and
     their beginnings of 4 and 5 bytes, by which an inflected form is known that was never labelled,
-    and for each of these that occurs again, one that says so. among: a mask of the terms to keep.
+    and for each of these that occurs again, one that says so. among: a mask of the terms to keep; near:
+    of those that are kept or whose repetition is.
     """
     w = words(texts, prefixes=(4, 5))
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(w.ptr))
-    near = None if among is None else among | among[_again(np.arange(1 << bits), bits)]
     keys = []
     for h in (w.h, *w.prefixes):
         t = h >> np.uint64(64 - bits)
@@ -109,8 +125,48 @@ def evidence(rows: list[np.ndarray], labels: np.ndarray, bits: int, prior: float
     return np.where(df[0] + df[1] > 0, odds / np.sqrt(1 / (df[1] + a1) + 1 / (df[0] + a0)), 0)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 6, rate: float = 0.1, batch: int = 256, l2: float = 1e-4, seed: int = 7, least: float = 3.0, balance: float = 0.5) -> Model:
-    """Logistic loss, AdaGrad, over the terms whose class differs by at least `least` standard errors.
+def interacting(rows: list[np.ndarray], labels: np.ndarray, bits: int, least: float = PAIR_LEAST, share: float = PAIR_SHARE, prior: float = 10.0) -> np.ndarray:
+    """Terms that say something about the class together with another term which the two don't say
+    each by itself: the log odds of the documents that hold both differ from the sum of those of either
+    by at least `least` standard errors. All pairs are looked at of terms in at least `share` of the rows."""
+    df = np.bincount(np.concatenate(rows), minlength=1 << bits)
+    common = np.flatnonzero(df >= max(10, share * len(rows)))
+    slot = np.full(1 << bits, -1, np.int64)
+    slot[common] = np.arange(len(common))
+    both, one = [], []
+    mass = [prior * (1 - float(labels.mean())), prior * float(labels.mean())]
+    for y in (0, 1):
+        count = np.zeros((len(common), len(common)), np.float32)
+        own = [slot[r] for r, l in zip(rows, labels) if l == y]
+        for at in range(0, len(own), 4096):
+            x = np.zeros((min(4096, len(own) - at), len(common)), np.float32)
+            for i, r in enumerate(own[at : at + 4096]):
+                x[i, r[r >= 0]] = 1
+            count += x.T @ x
+        both.append(count)
+        one.append(count.diagonal().copy())
+    base = np.log((labels.sum() + mass[1]) / mass[1]) - np.log((len(labels) - labels.sum() + mass[0]) / mass[0])
+    odds = lambda n1, n0: np.log((n1 + mass[1]) / mass[1]) - np.log((n0 + mass[0]) / mass[0])
+    alone = odds(one[1], one[0]) - base
+    out = np.zeros(len(common), bool)
+    for i in range(len(common)):  # a row at a time, as the matrices are large
+        n1, n0 = both[1][i], both[0][i]
+        beyond = odds(n1, n0) - base - alone[i] - alone
+        z = np.abs(beyond) / np.sqrt(1 / (n1 + mass[1]) + 1 / (n0 + mass[0]))
+        z[n1 + n0 < 10] = 0
+        z[i] = 0
+        # a term and what always comes with it are one
+        z[(n1 + n0) >= 0.9 * np.minimum(one[1] + one[0], one[1][i] + one[0][i])] = 0
+        hit = z >= least
+        if hit.any():
+            out[i] = True
+            out |= hit
+    return common[out]
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 6, rate: float = 0.1, batch: int = 256, l2: float = 1e-4, seed: int = 7, least: float = 3.0, balance: float = 0.5, pairs: float = PAIR_LEAST) -> Model:
+    """Logistic loss, AdaGrad, over the terms whose class differs by at least `least` standard errors, by
+    themselves or (`pairs`, see interacting) together with another term.
     balance: how far the rarer class is weighted up, 1 so that both count alike. Without both classes:
     a model that calls nothing toxic."""
     labels = np.asarray(labels, np.float64)
@@ -121,7 +177,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
     positive = labels.sum()
     if not 0 < positive < len(labels):
         return Model(bits, -20.0, np.empty(0, np.int64), np.empty(0, np.float32), np.empty((0, factors), np.float32))
-    known = np.flatnonzero(np.abs(evidence(rows, labels, bits)) >= least)
+    known = np.union1d(np.flatnonzero(np.abs(evidence(rows, labels, bits)) >= least), interacting(rows, labels, bits, pairs))
     slot = np.full(1 << bits, -1, np.int32)
     slot[known] = np.arange(len(known))
     rows = [x[x >= 0] for x in (slot[r] for r in rows)]
@@ -136,24 +192,32 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
             lens = np.array([len(rows[i]) for i in ids])
             ptr = np.concatenate([[0], np.cumsum(lens)])
             t = np.concatenate([rows[i] for i in ids]) if ptr[-1] else np.empty(0, np.int32)
-            v = m.factors[t]
-            total = _sums(v, ptr)
-            margin = m.bias + _sums(m.linear[t], ptr) + 0.5 * (total**2 - _sums(v * v, ptr)).sum(axis=1)
-            grad = (weight[ids] * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[ids]) / len(ids)).astype(np.float32)
-            g = np.repeat(grad, lens)
-            used, back = np.unique(t, return_inverse=True)
-            gw = np.bincount(back, g, len(used)).astype(np.float32) + l2 * m.linear[used]
-            per = g[:, None] * (np.repeat(total, lens, axis=0) - v)
-            gv = np.stack([np.bincount(back, per[:, f], len(used)) for f in range(factors)], axis=1).astype(np.float32) + l2 * m.factors[used]
+            gb, used, gw, gv = gradients(m.bias, m.linear, m.factors, t, ptr, labels[ids], weight[ids], l2)
             seen_w[used] += gw * gw
             seen_v[used] += gv * gv
-            seen_b += float(grad.sum()) ** 2
+            seen_b += gb**2
             m.linear[used] -= rate * gw / np.sqrt(seen_w[used])
             m.factors[used] -= 0.2 * rate * gv / np.sqrt(seen_v[used])
-            m.bias -= rate * float(grad.sum()) / np.sqrt(seen_b)
+            m.bias -= rate * gb / np.sqrt(seen_b)
     return m
 
 
+def gradients(bias: float, linear: np.ndarray, factors: np.ndarray, t: np.ndarray, ptr: np.ndarray, labels: np.ndarray, weight: np.ndarray, l2: float) -> tuple:
+    """Of the mean loss of the rows t[ptr[i]:ptr[i + 1]]: by the bias; the terms of the rows, and by their
+    linear weights and factors, with l2 times the weight added."""
+    v = factors[t]
+    total = _sums(v, ptr)
+    margin = bias + _sums(linear[t], ptr) + 0.5 * (total**2 - _sums(v * v, ptr)).sum(axis=1)
+    grad = (weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels) / len(labels)).astype(linear.dtype)
+    lens = np.diff(ptr)
+    g = np.repeat(grad, lens)
+    used, back = np.unique(t, return_inverse=True)
+    gw = np.bincount(back, g, len(used)).astype(linear.dtype) + l2 * linear[used]
+    per = g[:, None] * (np.repeat(total, lens, axis=0) - v)
+    gv = np.stack([np.bincount(back, per[:, f], len(used)) for f in range(factors.shape[1])], axis=1).astype(linear.dtype) + l2 * factors[used]
+    return float(grad.sum()), used, gw, gv
+
+
 def sampled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
     """Terms and labels of at most `rows` labelled documents, chosen by a hash of their ids. The ids
     go to the executors, which is why their number has a bound; only hashed terms come back."""

@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 
-from millrace.llm import toxicity
+from millrace.llm import queries, toxicity
 from tests.llm import cases
 
 
@@ -36,6 +36,68 @@ def test_learns_what_is_toxic_only_together():
     assert np.abs(linear.scores(pa.array(rows[3000:])) - m.scores(pa.array(rows[3000:]))).max() > 0.05
 
 
+def test_pairs_of_terms_that_are_neutral_alone():
+    """With what the query uses: nothing is passed but rows and labels."""
+    rng = np.random.default_rng(4)
+    texts, labels = [], []
+    for _ in range(6000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join([f"n{x}" for x in rng.integers(0, 200, 10)] + ["insult"] * a + ["group"] * b))
+        labels.append(int(a != b))
+    t, p = toxicity.terms(pa.array(texts))
+    sets, y = [t[p[i] : p[i + 1]] for i in range(len(texts))], np.array(labels)
+    marginal = np.abs(toxicity.evidence(sets[:5000], y[:5000], toxicity.BITS))
+    own, _ = toxicity.terms(pa.array(["insult group"]))
+    assert (marginal[own] < 3).all()
+    m = toxicity.fit(sets[:5000], y[:5000])
+    assert ((m.scores(pa.array(texts[5000:])) >= toxicity.THRESHOLD) == y[5000:].astype(bool)).mean() > 0.95
+
+
+def test_gradients_are_those_of_the_loss():
+    """One step from known weights, against the loss by finite differences."""
+    rows = [np.array([0, 1, 2], np.int32), np.array([1, 3], np.int32), np.array([0, 3], np.int32), np.array([2], np.int32)]
+    y = np.array([1.0, 0, 0, 1])
+    rng = np.random.default_rng(0)
+    w, v, b = rng.standard_normal(4), rng.standard_normal((4, 2)), 0.2
+
+    def loss(w, v, b):
+        out = 0.0
+        for r, t in zip(rows, y):
+            m = b + w[r].sum() + sum(v[i] @ v[j] for k, i in enumerate(r) for j in r[:k])
+            out += np.log1p(np.exp(-m if t else m))
+        return out / len(rows)
+
+    ptr = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    t = np.concatenate(rows)
+    gb, used, gw, gv = toxicity.gradients(b, w, v, t, ptr, y, np.ones(4), 0.0)
+    assert used.tolist() == [0, 1, 2, 3]
+    e = 1e-6
+    assert abs((loss(w, v, b + e) - loss(w, v, b - e)) / (2 * e) - gb) < 1e-5
+    for i in range(4):
+        d = np.zeros(4)
+        d[i] = e
+        assert abs((loss(w + d, v, b) - loss(w - d, v, b)) / (2 * e) - gw[i]) < 1e-5
+        for f in range(2):
+            d = np.zeros((4, 2))
+            d[i, f] = e
+            assert abs((loss(w, v + d, b) - loss(w, v - d, b)) / (2 * e) - gv[i, f]) < 1e-5
+
+
+def test_query_equals_a_slow_restatement(spark, medium):
+    """Training on all labels, then scores by plain sums over pairs."""
+    docs, labels = spark.read.parquet(f"{medium}/documents.parquet"), spark.read.parquet(f"{medium}/labels.parquet")
+    got = {r.doc_id: r.score for r in queries.op9_toxicity(spark, medium).collect()}
+    model = toxicity.train(docs, labels)
+    place = {int(k): i for i, k in enumerate(model.known)}
+    want = {}
+    for r in docs.collect():
+        own = [place[x] for x in toxicity.terms(pa.array([r.text]))[0].tolist() if x in place]
+        margin = model.bias + sum(float(model.linear[a]) for a in own) + sum(float(model.factors[a].astype(float) @ model.factors[b].astype(float)) for k, a in enumerate(own) for b in own[:k])
+        if own and 1 / (1 + np.exp(-margin)) >= toxicity.THRESHOLD:
+            want[r.doc_id] = 1 / (1 + np.exp(-margin))
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-3 for i in want)
+
+
 def test_held_out_accuracy(spark):
     """Half of the labels train, the other half judges."""
     data = "/root/testdata/sf0.1"
