@@ -11,17 +11,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from millrace.llm.shared import slices, written
+from millrace.llm.shared import BROADCAST_ROWS, checkpointed, slices, written
 from millrace.llm.words import span_hash, winnow, words
 
 K = 8
 MIN_WORDS = 50
 #: Segments are compared in lots of whole anchors with about so many words.
 LOT_WORDS = 1_000_000
+#: An anchor with more segments than that is no lot: its windows are compared each by itself, in a shuffle.
+HOT_SEGMENTS = 20_000
 
 _NUMBERS = ["anchor", "segment", "key", "first", "last", "role"]
+_WINDOW = ["anchor", "segment", "first", "role", "key", "skip", "code"]
 _PLACE = ["anchor", "segment", "key", "pos", "first", "last"]
 
 
@@ -38,14 +42,18 @@ class Shared:
     document has word for word, with the least and the greatest (key, pos) that has them, and whether
     the anchor has other segments too. segments: those others, and hub and other of each alike segment
     at such anchors, with their words: (anchor, segment, key, first, last, role, words); role is 0, or
-    1 for a hub and 2 for an other."""
+    1 for a hub and 2 for an other. windows: of the same kind, but for the anchors with very many
+    segments: (anchor, segment, key, first, role, skip, code), a hash of each window."""
 
     alike: DataFrame
     segments: DataFrame
+    windows: DataFrame
 
 
-def shared_segments(docs: DataFrame, tag: str, k: int = K, least: int = MIN_WORDS) -> Shared:
+def shared_segments(docs: DataFrame, tag: str, k: int = K, least: int = MIN_WORDS, hot: int = HOT_SEGMENTS) -> Shared:
     """Segments at anchors that at least two documents of (key, text) have."""
+    if least < k:
+        raise ValueError(f"min_words {least} must be {k} at least")
 
     def places(batches):
         for batch in batches:
@@ -65,7 +73,13 @@ def shared_segments(docs: DataFrame, tag: str, k: int = K, least: int = MIN_WORD
     alike = F.col("hub.key") != F.col("other.key")
     role = F.when(~alike, 0).when(place == F.col("hub"), 1).when(place == F.col("other"), 2)
     compared = found.where("varied").withColumn("role", role).where("role is not null")
-    wanted = compared.groupBy("key").agg(F.collect_set(F.struct("anchor", "segment", "first", "last", "role")).alias("wanted"))
+    crowded = checkpointed(compared.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.lit(True).alias("hot")))
+    if crowded.count() <= BROADCAST_ROWS:
+        crowded = F.broadcast(crowded)
+    compared = compared.join(crowded, "anchor", "left")
+    one = F.struct("anchor", "segment", "first", "last", "role", F.coalesce("hot", F.lit(False)).alias("hot"))
+    wanted = compared.groupBy("key").agg(F.collect_set(one).alias("wanted"))
+    asked = docs.join(wanted, "key").select("key", "text", "wanted")
 
     def cut(batches):
         for batch in batches:
@@ -77,26 +91,51 @@ def shared_segments(docs: DataFrame, tag: str, k: int = K, least: int = MIN_WORD
                 for i, rows in enumerate(part.column("wanted").to_pylist()):
                     end = int(w.ptr[i + 1] - w.ptr[i])
                     for r in rows:
-                        if r["last"] + least <= end:  # false only if two texts go by one id
+                        if not r["hot"] and r["last"] + least <= end:  # past the end only if two texts go by one id
                             own = small[w.ptr[i] + r["first"] : w.ptr[i] + r["last"] + least]
                             for n, v in zip(out, (r["anchor"], r["segment"], keys[i], r["first"], r["last"], r["role"], own.tobytes())):
                                 out[n].append(v)
                 yield pa.RecordBatch.from_arrays([*(pa.array(out[n], pa.int64()) for n in _NUMBERS), pa.array(out["words"], pa.binary())], list(out))
 
-    segments = docs.join(wanted, "key").select("key", "text", "wanted").mapInArrow(cut, ", ".join(f"{n} long" for n in _NUMBERS) + ", words binary")
-    return Shared(found.where(alike), segments)
-
-
-def lots(batches, most: int = LOT_WORDS):
-    """Rows that come sorted by anchor, in record batches of whole anchors."""
+    def single(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = words(part.column("text"))
+                keys = part.column("key").to_pylist()
+                for i, rows in enumerate(part.column("wanted").to_pylist()):
+                    own = [r for r in rows if r["hot"] and r["last"] + least <= w.ptr[i + 1] - w.ptr[i]]
+                    if own:
+                        size = np.array([r["last"] - r["first"] + 1 for r in own])
+                        skip = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                        s = w.ptr[i] + np.repeat([r["first"] for r in own], size) + skip
+                        columns = [np.repeat(np.array([r[n] for r in own], np.int64), size) for n in ("anchor", "segment", "first", "role")]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.full(len(s), keys[i])), pa.array(skip), pa.array(span_hash(w.h, s, s + least).view(np.int64))], _WINDOW)
+
+    segments = asked.mapInArrow(cut, ", ".join(f"{n} long" for n in _NUMBERS) + ", words binary")
+    windows = asked.where(F.exists("wanted", lambda r: r["hot"])).mapInArrow(single, ", ".join(f"{n} long" for n in _WINDOW))
+    return Shared(found.where(alike), segments, windows)
+
+
+def shared_windows(windows: DataFrame) -> DataFrame:
+    """The rows of Shared.windows that another document has, with hub and far, the least and the greatest
+    (key, at) that have them. Minima are combined before the shuffle."""
+    place = F.struct("key", (F.col("first") + F.col("skip")).alias("at"))
+    ends = windows.groupBy("code").agg(F.min(place).alias("hub"), F.max(place).alias("far")).where("hub.key <> far.key")
+    return windows.join(ends, "code")
+
+
+def lots(batches, most: int = LOT_WORDS, by: str = "anchor", weight: str | None = "words"):
+    """Rows that come sorted by `by`, as tables of whole groups of about `most` words, or bytes of `weight`
+    by 4, or, without it, rows."""
     held, size, edge = [], 0, None
     for batch in batches:
         at = 0
-        anchor = batch.column("anchor").to_numpy()
-        if not len(anchor):
+        group = batch.column(by).to_numpy()
+        if not len(group):
             continue
-        total = np.cumsum([len(x) // 4 for x in batch.column("words").to_pylist()])
-        starts = np.flatnonzero(np.concatenate([[edge is None or anchor[0] != edge], anchor[1:] != anchor[:-1]]))
+        own = pc.binary_length(batch.column(weight)).to_numpy(zero_copy_only=False) // 4 if weight else np.ones(len(group), np.int64)
+        total = np.cumsum(own)
+        starts = np.flatnonzero(np.concatenate([[edge is None or group[0] != edge], group[1:] != group[:-1]]))
         for s in starts.tolist():
             if size + int(total[s - 1] if s else 0) - int(total[at - 1] if at else 0) >= most:
                 held.append(batch.slice(at, s - at))
@@ -104,7 +143,7 @@ def lots(batches, most: int = LOT_WORDS):
                 held, size, at = [], 0, s
         held.append(batch.slice(at))
         size += int(total[-1]) - int(total[at - 1] if at else 0)
-        edge = anchor[-1]
+        edge = group[-1]
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from millrace.llm.graph import components
-from millrace.llm.shared import checkpointed, row_key, slices, written
+from millrace.llm.shared import BROADCAST_ROWS, checkpointed, row_key, slices, written
 from millrace.llm.words import ends, grams, mix, span_hash, words
 
 SHINGLE = 3
@@ -30,8 +30,6 @@ BINS = 128
 ROWS = 3
 #: Least Jaccard similarity of the shingle sets of copies.
 THRESHOLD = 0.5
-#: A list of at most so many rows may be broadcast.
-BROADCAST_ROWS = 1_000_000
 
 _U = np.uint64
 _MASK = _U((1 << 57) - 1)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.anchors import MIN_WORDS, by_anchor, lots, shared_segments
+from millrace.llm.anchors import HOT_SEGMENTS, MIN_WORDS, by_anchor, lots, shared_segments, shared_windows
 from millrace.llm.repeats import joined
 from millrace.llm.shared import scratch_root
 
@@ -173,17 +173,20 @@ def repeated(lot: pa.Table, least: int, root: str) -> tuple[np.ndarray, ...]:
     return key[own[a]], inner[a], inner[z] + least
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT_SEGMENTS) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): the parts of each document that consist of windows of
     min_words words which another document holds too, in words of the lower-cased texts; overlapping
     and touching ones are one part.
 
     Null, empty and shorter texts have none. Rows without doc_id cannot be named and are left out;
     rows with the same id are one document, and what repeats only within a document is not reported.
-    Empty tables: no rows. Other columns are not looked at.
+    Empty tables: no rows. Other columns are not looked at. min_words below the 8 words of a seed, or
+    beyond what the files hold of a common prefix: ValueError.
     """
+    if min_words > np.iinfo(np.int16).max // 2:
+        raise ValueError(f"min_words {min_words} must be {np.iinfo(np.int16).max // 2} at most")
     keyed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("key"), "text")
-    shared = shared_segments(keyed, "suffixes", least=min_words)
+    shared = shared_segments(keyed, "suffixes", least=min_words, hot=hot)
     root = scratch_root(docs.sparkSession)
 
     def compare(batches):
@@ -192,5 +195,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     near = by_anchor(shared.segments).mapInArrow(compare, "key long, start long, stop long")
     alike = shared.alike.select("key", F.col("first").alias("start"), (F.col("last") + min_words).alias("stop"))
-    spans = joined(alike.unionAll(near), "key")
+    at = F.col("first") + F.col("skip")
+    single = shared_windows(shared.windows).select("key", at.alias("start"), (at + min_words).alias("stop"))
+    spans = joined(alike.unionAll(near).unionAll(single), "key")
     return spans.select(F.col("key").alias("doc_id"), F.col("start").alias("start_word"), F.col("stop").alias("end_word"), (F.col("stop") - F.col("start")).alias("n_words"))

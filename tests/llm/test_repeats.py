@@ -1,10 +1,12 @@
 import collections
+import unicodedata
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from millrace.llm import anchors, repeats, suffix
+from millrace.llm import anchors, queries, repeats, suffix
 from tests.llm import cases
 
 
@@ -32,20 +34,20 @@ def spans_of(starts, least):
     return [tuple(x) for x in out]
 
 
-@pytest.mark.parametrize("least", [50, 20])
-def test_against_brute_force(spark, small, least):
+@pytest.mark.parametrize("least, hot", [(50, anchors.HOT_SEGMENTS), (20, 3), (50, 0)])
+def test_against_brute_force(spark, small, least, hot):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = truth(rows, least)
     assert want
     got = collections.defaultdict(list)
-    for r in suffix.repeated_spans(docs, least).collect():
+    for r in suffix.repeated_spans(docs, least, hot).collect():
         got[r.doc_id].append((r.start_word, r.end_word))
         assert r.n_words == r.end_word - r.start_word
     assert {i: sorted(s) for i, s in got.items()} == {i: spans_of(s, least) for i, s in want.items()}
     text = {i: cases.words(t) for i, t in rows}
     covered = collections.defaultdict(set)
-    for r in repeats.repeats(docs, least).collect():
+    for r in repeats.repeats(docs, least, hot).collect():
         mine = text[r.doc_id][r.start_word : r.start_word + r.n_words]
         assert r.match_doc_id != r.doc_id and r.n_words >= least and len(mine) == r.n_words
         assert mine == text[r.match_doc_id][r.match_start : r.match_start + r.n_words]
@@ -114,7 +116,7 @@ def test_mosaics_are_whole(spark, seed):
     parts = [" ".join(f"s{p}w{i}" for i in range(rng.integers(5, 45))) for p in range(12)]
     rows = [(i, " ".join(f"own{i}x{k}" if rng.random() < 0.1 else parts[rng.integers(0, 12)] for k in range(rng.integers(2, 14)))) for i in range(25)]
     rows += [(100 + i, f"{rows[i][1]} {rows[i + 1][1]}") for i in range(8)]
-    found = repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()
+    found = repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string"), 20, seed).collect()
     assert found
     assert_whole(rows, found, 20)
 
@@ -146,3 +148,40 @@ def test_lots_keep_anchors_whole():
         assert pa.concat_tables(got).equals(table.combine_chunks()) or pa.concat_tables(got).to_pydict() == table.to_pydict()
         sets = [set(t.column("anchor").to_pylist()) for t in got]
         assert all(not a & b for a, b in zip(sets, sets[1:]))
+
+
+def test_texts_that_repeat_themselves(spark):
+    line = " ".join(f"l{i}" for i in range(60))
+    rows = [(i, " ".join([f"own{i}"] * (i % 3) + [line] * (30 + i % 7) + [f"end{i}"])) for i in range(40)] + [(100 + i, "ha " * (80 + i)) for i in range(4)]
+    found = repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()
+    assert_whole(rows, found, 20)
+    assert len(found) < 40 * 90 + 4 * 200
+
+
+def test_one_seed_in_a_hundred_thousand_contexts(spark):
+    """Windows of a seed that many documents have with other words around it are compared in a shuffle."""
+    seed = "these eight words are found in every page"
+    docs = spark.range(100_000).selectExpr("id AS doc_id", f"concat_ws(' ', transform(sequence(1, 45), x -> concat('a', id % 99991, 'x', x)), '{seed}', transform(sequence(1, 45), x -> concat('b', id, 'x', x))) AS text")
+    want = {(i, 0, 53, i - 99991, 0) for i in range(99991, 100_000)} | {(i, 0, 53, i + 99991, 0) for i in range(9)}
+    assert {tuple(r) for r in repeats.repeats(docs).collect()} == want
+    assert {tuple(r) for r in suffix.repeated_spans(docs).collect()} == {(i, 0, 53, 53) for i, *_ in want}
+
+
+def test_thresholds_that_cannot_be(spark):
+    docs = cases.empty(spark)
+    for f, least in ((repeats.repeats, 7), (suffix.repeated_spans, 7), (suffix.repeated_spans, 20_000)):
+        with pytest.raises(ValueError):
+            f(docs, least)
+
+
+def test_other_scripts_equal_the_sql(spark, tmp_path):
+    line = "東京は日本の首都です、人口が多い街 안녕，세계 여러분→반갑습니다 a😀b naïve “quoted—words” 한글"
+    passage = f"{line} {line[::-1]}"
+    rows = [(1, f"前に {passage} 後"), (2, passage.replace(" ", "→")), (3, "別の文章です"), (4, unicodedata.normalize("NFD", passage) + " é"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    names = "doc_id, start_word, end_word, n_words"
+    want = set(con.sql(f"SELECT {names} FROM ({queries.ORACLES['op3_suffix_array']})").fetchall())
+    assert {tuple(r) for r in suffix.repeated_spans(docs).select(*names.split(", ")).collect()} == want and {r[0] for r in want} == {1, 2, 4}
