@@ -29,15 +29,19 @@ _RATE, _COPIES, _REST, _UNIT, _UP, _SOURCE = (f"__millrace_{x}" for x in ("rate"
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA) -> DataFrame:
     """(source, documents, weight, rate): rate is the mean number of copies that gives each source its
     weight while the total stays the number of documents. weights: target weights by source instead
-    of documents ** alpha; sources without one get 0."""
+    of documents ** alpha; sources without one get 0. Where no source that is there has a weight, all
+    rates are 0. A weight that is negative or no number: ValueError."""
+    if any(not 0 <= float(v) < float("inf") for v in (weights or {}).values()):
+        raise ValueError(f"weights must be numbers of 0 and more: {weights}")
     n = docs.groupBy("source").agg(F.count("*").alias("documents"))
     if weights is None:
         n = n.withColumn("weight", F.pow(F.col("documents").cast("double"), F.lit(float(alpha))))
     else:
-        table = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "k string, weight double")
+        table = F.broadcast(docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "k string, weight double"))
         n = n.join(table, F.col("source").eqNullSafe(F.col("k")), "left").select("source", "documents", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     whole = n.agg(F.sum("documents").alias("all"), F.sum("weight").alias("mass"))
-    return n.crossJoin(F.broadcast(whole)).select("source", "documents", (F.col("weight") / F.col("mass")).alias("weight"), (F.col("weight") / F.col("mass") * F.col("all") / F.col("documents")).alias("rate"))
+    share = F.when(F.col("mass") > 0, F.col("weight") / F.col("mass")).otherwise(0.0)
+    return n.crossJoin(F.broadcast(whole)).select("source", "documents", share.alias("weight"), (share * F.col("all") / F.col("documents")).alias("rate"))
 
 
 def pivot(p: float, q: float, u: float) -> tuple[float, float]:
@@ -159,7 +163,9 @@ def with_copies(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
     The copies of a source sum to its target but for less than 1. A null source is a source like
     another. Every row is a unit of its own, repeated rows and rows with null ids or texts too, and
-    other columns go along unread. The table is streamed once and never shuffled.
+    other columns go along unread. The table is streamed once and never shuffled. Which rows of a source
+    are taken follows the seed and the partitions; rows are never compared, so there are no ties.
+    weights without mass: no copies of any row. Empty tables: no rows.
     """
     table = checkpointed(rates(docs, weights, alpha).select(F.col("source").alias(_SOURCE), F.col("rate").alias(_RATE)))
     if table.count() <= BROADCAST_ROWS:

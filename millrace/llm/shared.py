@@ -19,13 +19,16 @@ BROADCAST_ROWS = 1_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where the session names none."""
+    """The shared folder of the cluster; one of our own only where the session names none and driver
+    and executors are one machine."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     held = sc._jsc.sc().getCheckpointDir()
     if root is None and held.isDefined():
         root = held.get()
     if root is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         own = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = "file://" + own

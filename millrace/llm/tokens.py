@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.shared import slices
@@ -19,6 +20,7 @@ from millrace.llm.shared import slices
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 BLOCK = 1024
+_LONG_SPACE = regex.compile(r"\s{50000,}+")
 
 
 @lru_cache(maxsize=2)
@@ -31,6 +33,19 @@ def encoding(path: str = VOCABULARY):
     return tiktoken.Encoding("millrace", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoded(encoder, text: str) -> list[int]:
+    """The ids of a text. The encoder's pattern looks for the end of white space step by step and fails
+    on runs of a million; so a long run is encoded by itself but for its last character, which goes
+    with what follows. That is where the pattern parts it, so the ids are those of the whole."""
+    ids, at = [], 0
+    for run in _LONG_SPACE.finditer(text):
+        if run.end() < len(text):
+            ids += encoder.encode_ordinary(text[at : run.start()])
+            ids += encoder.encode_ordinary(text[run.start() : run.end() - 1])
+            at = run.end() - 1
+    return ids + encoder.encode_ordinary(text[at:])
+
+
 def width(vocabulary: int) -> int:
     """Bits that an id below `vocabulary` needs."""
     return max(1, int(vocabulary - 1).bit_length())
@@ -42,16 +57,16 @@ def pack(ids: np.ndarray, bits: int, block: int = BLOCK) -> tuple[bytes, np.ndar
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"an id needs more than {bits} bits")
     stride = -(-block * bits // 8)
-    blocks = -(-len(ids) // block)
-    offsets = np.arange(blocks, dtype=np.int64) * stride
-    if bits in (8, 16, 32):
-        return ids.astype(f"<u{bits // 8}").tobytes(), offsets
-    out = []
-    for at in range(0, len(ids), block):
-        part = ids[at : at + block].astype("<u8")
-        raised = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little", count=bits)
-        out.append(np.packbits(raised.ravel(), bitorder="little").tobytes())
-    return b"".join(out), offsets
+    offsets = np.arange(-(-len(ids) // block), dtype=np.int64) * stride
+    if block * bits % 8 == 0:  # blocks end on a byte by themselves
+        return _packed(ids, bits), offsets
+    return b"".join(_packed(ids[at : at + block], bits) for at in range(0, len(ids), block)), offsets
+
+
+def _packed(ids: np.ndarray, bits: int) -> bytes:
+    """The low bits of each id one after another."""
+    wide = ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : -(-bits // 8)]
+    return np.packbits(np.unpackbits(wide, axis=1, bitorder="little", count=bits).ravel(), bitorder="little").tobytes()
 
 
 def unpack(data: bytes, n: int, bits: int, offsets, block: int = BLOCK) -> np.ndarray:
@@ -96,7 +111,7 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOCK) ->
             for part in slices(batch, "text"):
                 sizes, offsets, data = [], [], []
                 for text in part.column("text").to_pylist():
-                    ids = encoder.encode_ordinary(text) if text else []
+                    ids = encoded(encoder, text) if text else []
                     body, at = pack(np.array(ids, np.uint32), bits, block)
                     sizes.append(len(ids))
                     offsets.append(at)

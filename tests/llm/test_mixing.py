@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from millrace.llm import mixing
+from millrace.llm import mixing, queries
 from tests.llm import cases
 
 
@@ -65,3 +65,29 @@ def test_mixed_keeps_columns_and_weights_can_leave_out(spark):
     only = mixing.mixed(docs, weights={"a": 1.0}).collect()
     assert {r.source for r in only} == {"a"} and abs(len(only) - docs.count()) <= 1
     assert mixing.mixed(cases.empty(spark)).count() == 0 and mixing.copies(cases.empty(spark)).count() == 0
+
+
+def test_weights_without_mass(spark):
+    docs = cases.odd(spark)
+    for weights in ({"nowhere": 1.0}, {"a": 0.0}, {}):
+        got = mixing.copies(docs, weights=weights).collect()
+        assert len(got) == docs.count() and {r.copies for r in got} == {0} and mixing.mixed(docs, weights=weights).count() == 0
+    with pytest.raises(ValueError):
+        mixing.copies(docs, weights={"a": -1.0})
+
+
+def test_the_query_meets_its_targets_and_every_row(spark, medium):
+    """By plain arithmetic over the table: floor or ceiling for every row, the total of each source, and
+    that of all. The draw itself is held against its probabilities above."""
+    docs = spark.read.parquet(f"{medium}/documents.parquet").select("doc_id", "source").collect()
+    per = collections.Counter(r.source for r in docs)
+    mass = sum(n**0.7 for n in per.values())
+    rate = {s: n**0.7 / mass * len(docs) / n for s, n in per.items()}
+    got = queries.op7_mixing(spark, medium).collect()
+    assert sorted((r.doc_id, r.source) for r in got) == sorted((r.doc_id, r.source) for r in docs)
+    assert all(r.copies in (int(rate[r.source]), int(rate[r.source]) + 1) for r in got)
+    total = collections.Counter()
+    for r in got:
+        total[r.source] += r.copies
+    assert all(abs(total[s] - rate[s] * n) < 1 for s, n in per.items()) and abs(sum(total.values()) - len(docs)) < len(per)
+    assert got == queries.op7_mixing(spark, medium).collect()
