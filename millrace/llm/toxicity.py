@@ -27,8 +27,8 @@ FACTORS = 4
 THRESHOLD = 0.5
 #: Standard errors that the evidence of a pair of terms must have, and the least share of the rows that
 #: hold a term whose pairs are looked at.
-PAIR_LEAST = 7.0
-PAIR_SHARE = 0.02
+PAIR_LEAST = 9.0
+PAIR_SHARE = 0.03
 
 
 @dataclass
@@ -113,11 +113,7 @@ def terms(texts: pa.Array, bits: int = BITS, among: np.ndarray | None = None, ne
 
 def evidence(rows: list[np.ndarray], labels: np.ndarray, bits: int, prior: float = 10.0) -> np.ndarray:
     """Z scores of the smoothed log odds of each term between the classes; 0 for unseen terms."""
-    df = [np.zeros(1 << bits), np.zeros(1 << bits)]
-    for y in (0, 1):
-        own = [r for r, l in zip(rows, labels) if l == y]
-        if own:
-            df[y] += np.bincount(np.concatenate(own), minlength=1 << bits)
+    df = [_held(rows, labels, y, bits) for y in (0, 1)]
     share = float(np.mean(labels))
     a1, a0 = prior * share, prior * (1 - share)
     odds = np.log((df[1] + a1) / a1) - np.log((df[0] + a0) / a0)
@@ -125,42 +121,55 @@ def evidence(rows: list[np.ndarray], labels: np.ndarray, bits: int, prior: float
     return np.where(df[0] + df[1] > 0, odds / np.sqrt(1 / (df[1] + a1) + 1 / (df[0] + a0)), 0)
 
 
+def _held(rows: list[np.ndarray], labels: np.ndarray, y: int, bits: int) -> np.ndarray:
+    """In how many rows of a class each term is."""
+    out = np.zeros(1 << bits)
+    own = [r for r, l in zip(rows, labels) if l == y]
+    for at in range(0, len(own), 1000):
+        out += np.bincount(np.concatenate(own[at : at + 1000]), minlength=1 << bits)
+    return out
+
+
+def _together(rows: list[np.ndarray], n: int, lo: int, hi: int) -> np.ndarray:
+    """In how many rows the terms lo..hi-1 are with each of the terms lo..n-1."""
+    out = np.zeros((hi - lo, n - lo), np.float32)
+    for at in range(0, len(rows), 1000):
+        x = np.zeros((min(1000, len(rows) - at), n - lo), np.float32)
+        for i, r in enumerate(rows[at : at + 1000]):
+            x[i, r[r >= lo] - lo] = 1
+        out += x[:, : hi - lo].T @ x
+    return out
+
+
 def interacting(rows: list[np.ndarray], labels: np.ndarray, bits: int, least: float = PAIR_LEAST, share: float = PAIR_SHARE, prior: float = 10.0) -> np.ndarray:
     """Terms that say something about the class together with another term which the two don't say
-    each by itself: the log odds of the documents that hold both differ from the sum of those of either
-    by at least `least` standard errors. All pairs are looked at of terms in at least `share` of the rows."""
-    df = np.bincount(np.concatenate(rows), minlength=1 << bits)
-    common = np.flatnonzero(df >= max(10, share * len(rows)))
-    slot = np.full(1 << bits, -1, np.int64)
+    each by itself: the log odds of the documents that hold both are beyond those of either, their sum
+    and none by at least `least` standard errors. All pairs are looked at of terms in at least `share`
+    of the rows."""
+    df = [_held(rows, labels, y, bits) for y in (0, 1)]
+    common = np.flatnonzero(df[0] + df[1] >= max(10, share * len(rows)))
+    slot = np.full(1 << bits, -1, np.int32)
     slot[common] = np.arange(len(common))
-    both, one = [], []
+    own = [[x[x >= 0] for x in (slot[r] for r, l in zip(rows, labels) if l == y)] for y in (0, 1)]
+    one = [d[common].astype(np.float32) for d in df]
     mass = [prior * (1 - float(labels.mean())), prior * float(labels.mean())]
-    for y in (0, 1):
-        count = np.zeros((len(common), len(common)), np.float32)
-        own = [slot[r] for r, l in zip(rows, labels) if l == y]
-        for at in range(0, len(own), 4096):
-            x = np.zeros((min(4096, len(own) - at), len(common)), np.float32)
-            for i, r in enumerate(own[at : at + 4096]):
-                x[i, r[r >= 0]] = 1
-            count += x.T @ x
-        both.append(count)
-        one.append(count.diagonal().copy())
-    base = np.log((labels.sum() + mass[1]) / mass[1]) - np.log((len(labels) - labels.sum() + mass[0]) / mass[0])
-    odds = lambda n1, n0: np.log((n1 + mass[1]) / mass[1]) - np.log((n0 + mass[0]) / mass[0])
-    alone = odds(one[1], one[0]) - base
+    odds = lambda n1, n0: np.log(n1 / np.float32(mass[1]) + 1) - np.log(n0 / np.float32(mass[0]) + 1)
+    base = odds(labels.sum(), len(labels) - labels.sum())
+    alone = (odds(one[1], one[0]) - base).astype(np.float32)
     out = np.zeros(len(common), bool)
-    for i in range(len(common)):  # a row at a time, as the matrices are large
-        n1, n0 = both[1][i], both[0][i]
-        beyond = odds(n1, n0) - base - alone[i] - alone
-        z = np.abs(beyond) / np.sqrt(1 / (n1 + mass[1]) + 1 / (n0 + mass[0]))
-        z[n1 + n0 < 10] = 0
-        z[i] = 0
-        # a term and what always comes with it are one
-        z[(n1 + n0) >= 0.9 * np.minimum(one[1] + one[0], one[1][i] + one[0][i])] = 0
-        hit = z >= least
-        if hit.any():
-            out[i] = True
-            out |= hit
+    step = 512
+    for at in range(0, len(common), step):  # some terms at a time with those that follow
+        to = min(at + step, len(common))
+        n0, n1 = (_together(own[y], len(common), at, to) for y in (0, 1))
+        l, i, j = odds(n1, n0) - np.float32(base), alone[at:to, None], alone[at:]
+        # what the terms say by themselves, one of them, both or none, is no evidence of the pair
+        l = np.maximum(l - np.maximum(np.maximum(i, j), np.maximum(i + j, 0)), np.minimum(np.minimum(i, j), np.minimum(i + j, 0)) - l)
+        l /= np.sqrt(1 / (n1 + np.float32(mass[1])) + 1 / (n0 + np.float32(mass[0])))
+        n0 += n1
+        # too few to say, or one of the two always with the other: then they are one
+        hit = (l >= least) & (n0 >= 10) & (n0 < np.float32(0.9) * np.minimum((one[1] + one[0])[at:to, None], (one[1] + one[0])[at:]))
+        out[at:to] |= hit.any(axis=1)
+        out[at:] |= hit.any(axis=0)
     return common[out]
 
 
@@ -239,6 +248,7 @@ def sampled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(featurise, "doc_id long, toxic int, terms binary").toArrow()
     found = sorted(zip(got.column("doc_id").to_pylist(), got.column("terms").to_pylist(), got.column("toxic").to_pylist()))
+    del got
     return [np.frombuffer(t, np.int32) for _, t, _ in found], np.array([y for *_, y in found], np.float64)
 
 
