@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import sys
 from argparse import ArgumentParser, ArgumentTypeError
+from datetime import datetime
 from json import dumps
 from pathlib import Path
 
 from millrace.operators import diagnosis
 from millrace.plans import recipes
 from millrace.session import session
-from millrace.sources import lines
+from millrace.sources import lines, sinks
+from millrace.sources.files import joined
 
 
 def _positive(text: str) -> int:
@@ -31,9 +34,8 @@ def _switches(parser: ArgumentParser, *names: str) -> None:
 
 
 def _beside(path: str, suffix: str, ending: str) -> str:
-    p = Path(path)
-    stem = p.name.removesuffix(".gz")
-    return str(p.with_name(Path(stem).stem + suffix + ending))
+    folder, slash, name = path.rpartition("/")
+    return folder + slash + Path(name.removesuffix(".gz")).stem + suffix + ending
 
 
 def parser() -> ArgumentParser:
@@ -93,23 +95,61 @@ def parser() -> ArgumentParser:
     p.add_argument("--limit", type=_positive)
     _switches(p, "overwrite")
     p = command("holdout")
-    for x in ("--source", "--train", "--output", "--report"):
-        p.add_argument(x, required=True)
+    for x, usual in (("source", "pipeline_output/recipe_train_clean.jsonl"), ("train", "training_sample/recipe_train_sample.jsonl"), ("output", "evaluation/recipe_eval_holdout.jsonl"), ("report", "evaluation/eval_holdout_report.json")):
+        p.add_argument(f"--{x}", default=usual)
     p.add_argument("--count", type=_positive, default=1000)
     _numbers(p, seed=20260811)
     p = command("rank", "root")
     p = command("status")
-    for x in ("--status-file", "--output-dir", "--log-file"):
+    for x in ("--status-file", "--pid-file", "--output-dir", "--log-file"):
         p.add_argument(x)
+    p.add_argument("--update-state", choices=("RUNNING", "COMPLETED", "FAILED"), help="write the status file instead of reporting")
+    for x in ("--pid", "--exit-code"):
+        p.add_argument(x, type=int)
     p.add_argument("--alive", action="store_true", help="the training process is known to run")
     _switches(p, "json")
     return top
 
 
+def _number(path: str | None) -> int | None:
+    """The number in a small file, if there is one."""
+    try:
+        return int(Path(path).read_text().strip()) if path else None
+    except (OSError, ValueError):
+        return None
+
+
+def _alive(pid: int | None) -> bool:
+    """Whether a process of this machine runs."""
+    try:
+        os.kill(int(pid), 0)
+    except PermissionError:
+        return True
+    except (OSError, TypeError, ValueError, OverflowError):
+        return False
+    return int(pid) > 0
+
+
+def _record(a) -> int:
+    """Writes the state of a run into its status file; what isn't named stays as it was."""
+    if not a.status_file:
+        raise ValueError("--update-state needs --status-file")
+    now = datetime.now().astimezone().isoformat(timespec="seconds")
+    begun = a.update_state == "RUNNING"
+    old = lines.load_json(a.status_file, {})
+    if begun:
+        old = {k: v for k, v in old.items() if k not in ("ended_at", "exit_code")}
+    fields = {"state": a.update_state, "pid": a.pid, "exit_code": a.exit_code, "log_file": a.log_file, "output_dir": a.output_dir, "updated_at": now, "started_at": now if begun else None, "ended_at": None if begun else now}
+    sinks.write_document(diagnosis.updated_status(old, **fields), a.status_file)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    spark = session()
     try:
+        if a.command == "status" and a.update_state:
+            return _record(a)
+        spark = session()
         if a.command == "run":
             out = recipes.run(spark, a.input, a.output_dir, a.sample_size, a.seed, a.min_typo_count, a.min_protected_count, a.min_ingredient_protected_count, a.with_audit, a.target_count, a.selection_seed, a.scan_limit, a.overwrite)
         elif a.command == "bootstrap":
@@ -120,10 +160,10 @@ def main(argv: list[str] | None = None) -> int:
             out = recipes.clean(
                 spark, a.input, a.output, a.review or _beside(a.output, "_review", ".jsonl"), a.rejected or _beside(a.output, "_rejected", ".jsonl"), a.report or _beside(a.output, "_report", ".json"),
                 recipes.rulebook(a.typo_rules, a.noise_rules, a.protected_words), not a.no_deduplicate, a.target_count, a.selection_seed, a.scan_limit, a.overwrite,
+                {"typo": a.typo_rules, "noise": a.noise_rules, "protected_words": a.protected_words},
             )
         elif a.command == "sample":
-            folder = Path(a.output_dir)
-            out = recipes.sample(spark, a.input, str(folder / a.output_name), str(folder / "sample_report.json"), a.sample_size, a.seed, a.overwrite)
+            out = recipes.sample(spark, a.input, joined(a.output_dir, a.output_name), joined(a.output_dir, "sample_report.json"), a.sample_size, a.seed, a.overwrite)
         elif a.command == "convert":
             out = recipes.convert(spark, a.input, a.output, a.errors, a.limit, a.overwrite)
         elif a.command == "holdout":
@@ -133,11 +173,13 @@ def main(argv: list[str] | None = None) -> int:
         else:
             status = lines.load_json(a.status_file, {}) if a.status_file else {}
             log = a.log_file or status.get("log_file") or (lines.latest_log(spark, str(Path(a.status_file).parent)) if a.status_file else None)
+            log = str(log).removeprefix("file:") if log else None
             folder = a.output_dir or status.get("output_dir")
-            steps = [lines.checkpoint_step(p.name) for p in lines.checkpoints(folder)] if folder else []
-            out = diagnosis.report(spark, lines.tail(str(log).removeprefix("file:")) if log else "", status, a.alive, steps)
-            print(dumps(out, ensure_ascii=False, indent=2))
-            return out["exit"]
+            pid = a.pid or status.get("pid") or _number(a.pid_file)
+            found = [str(p) for p in lines.checkpoints(folder)] if folder else []
+            out = diagnosis.report(spark, lines.tail(log) if log else "", status | {"pid": pid}, a.alive or _alive(pid), found, status_file=a.status_file, log_file=log, output_dir=folder)
+            print(dumps(out, ensure_ascii=False, indent=2) if a.json else diagnosis.readable(out))
+            return diagnosis.EXIT.get(out["state"], 3)
     except (OSError, ValueError) as error:
         print(f"错误：{error}", file=sys.stderr)
         return 2 if a.command == "sample" else 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.text import any_of, plain, plain_length
@@ -38,9 +40,12 @@ _EMPTY_STEP = rf"(?iuU)\A{_FILL}" + any_of(
 _BARE_UNIT = rf"^{UNITS}(?=[一-鿿A-Za-z])"
 
 
+_DIGITS = "".join(chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Nd")
+
+
 def _value(c: Column) -> Column:
-    """The number of a text of digits, ASCII ones or others of full width."""
-    return F.translate(c, "０１２３４５６７８９", "0123456789").cast("double")
+    """The number of a text of digits of any script; null where it is no number all the same."""
+    return F.translate(c, _DIGITS, "".join(str(unicodedata.digit(d)) for d in _DIGITS)).try_cast("double")
 
 
 def _numbers(text: Column, pattern: str) -> Column:

@@ -55,7 +55,7 @@ def diagnosed(logs: DataFrame, text: str = "text") -> DataFrame:
         category = F.when(_contains(low, parts), name).otherwise(category)
         detail = F.when(_contains(low, parts), line).otherwise(detail)
     return logs.withColumns({
-        "progress": last_match(c, _PROGRESS, 3).cast("array<int>"), "metrics": last_match(c, _LOSS, 3), "category": category, "detail": detail,
+        "progress": last_match(c, _PROGRESS, 3).try_cast("array<bigint>"), "metrics": last_match(c, _LOSS, 3), "category": category, "detail": detail,
         "ended": F.contains(c, F.lit("train_runtime")) & F.contains(c, F.lit("train_loss")),
     })
 
@@ -75,18 +75,35 @@ def state(recorded: str | None, alive: bool, category: str | None, ended: bool)
 EXIT = {"RUNNING": 0, "COMPLETED": 0, "FAILED": 2, "UNEXPECTED_STOP": 2}
 
 
-def report(spark: SparkSession, tail: str, status: dict, alive: bool, steps: list[int]) -> dict:
-    """The report on a run: state, progress, metrics, checkpoints, the error and what to do about it."""
+def report(spark: SparkSession, tail: str, status: dict, alive: bool, checkpoints: list[str], **places: str | None) -> dict:
+    """The report on a run: state, progress, metrics, checkpoints, the error and what to do about it.
+    places: status_file, log_file and output_dir, as the report names them."""
     row = diagnosed(spark.createDataFrame([(tail,)], "text string")).first()
     at = state(status.get("state"), alive, row.category, row.ended)
     todo = next((s for n, _, s in CHECKS if n == row.category), [])
+    known = {k: status.get(k) for k in ("pid", "exit_code", "started_at", "ended_at")}
     return {
-        "state": at, "recorded_state": status.get("state"), "exit_code": status.get("exit_code"), "pid_alive": alive, "pid": status.get("pid"),
+        "state": at, "recorded_state": status.get("state"), "pid_alive": alive, **known, **{k: places.get(k) for k in ("output_dir", "log_file", "status_file")},
         "progress": row.progress and dict(zip(("percent", "step", "total_steps"), row.progress)), "metrics": row.metrics and dict(zip(("loss", "learning_rate", "epoch"), row.metrics)),
-        "checkpoints": steps, "error_category": row.category, "error_detail": row.detail, "suggestions": todo, "exit": EXIT.get(at, 3),
+        "latest_checkpoint": checkpoints[-1] if checkpoints else None, "checkpoint_count": len(checkpoints), "error_category": row.category, "error_detail": row.detail, "suggestions": todo,
     }
 
 
+_STATES = {"RUNNING": "运行中", "COMPLETED": "正常完成", "FAILED": "异常退出", "UNEXPECTED_STOP": "进程已不在", "UNKNOWN": "没有状态"}
+
+
+def readable(found: dict) -> str:
+    """A report as lines of text; what isn't known is left out."""
+    rows = [("状态", _STATES.get(found["state"], found["state"])), ("PID", found["pid"]), ("退出码", found["exit_code"]), ("开始时间", found["started_at"]), ("结束时间", found["ended_at"]), ("日志", found["log_file"]), ("输出目录", found["output_dir"])]
+    if p := found["progress"]:
+        rows.append(("最后进度", f"{p['step']}/{p['total_steps']}（{p['percent']}%）"))
+    if found["metrics"]:
+        rows.append(("最近指标", "，".join(f"{k}={v}" for k, v in found["metrics"].items())))
+    rows += [("检查点数", found["checkpoint_count"]), ("最近检查点", found["latest_checkpoint"]), ("错误类型", found["error_category"]), ("关键错误", found["error_detail"])]
+    rows += [("建议", s) for s in found["suggestions"]]
+    return "\n".join(f"{k}：{v}" for k, v in rows if v is not None)
+
+
 def updated_status(old: dict, **fields) -> dict:
     """A status document with fields set; those that are None stay as they are."""
     return old | {k: v for k, v in fields.items() if v is not None}

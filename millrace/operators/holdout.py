@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from millrace.functions.hashing import fingerprint
 from millrace.functions.text import stripped
 from millrace.functions.variant import strict_json
-from millrace.operators.route import first_of
-from millrace.operators.sampling import reservoir, taking, with_ordinal
+from millrace.operators.sampling import LISTED, kept_in_reservoir, taking, with_ordinal
+from millrace.session import checkpointed
 
 FIELDS = ("instruction", "input", "output")
 
@@ -34,24 +34,35 @@ def digest() -> Column:
     return fingerprint(*[F.col(n) for n in FIELDS])
 
 
+def candidates(source: DataFrame, train: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(digest, path, line, ordinal) of the rows of source that train doesn't have, of equal ones the first,
+    and the counts of the report. Each side is read and hashed once; only fingerprints and places are kept."""
+    own = checkpointed(training_rows(train).select(digest().alias("digest"), F.col("instruction").isNotNull().alias("fine")))
+    trained = own.agg(F.count("*").alias("rows"), F.count_if(~F.col("fine")).alias("bad"), F.count_distinct("digest").alias("unique")).first()
+    if trained.bad:
+        raise ValueError(f"{trained.bad} training rows are invalid")
+    known = own.select("digest").distinct().withColumn("_known", F.lit(True))
+    every = training_rows(source).select("path", "line", digest().alias("digest"), F.col("instruction").isNotNull().alias("fine"))
+    every = checkpointed(every.join(known, "digest", "left"))
+    left = F.col("fine") & F.col("_known").isNull()
+    seen = every.agg(F.count("*").alias("rows"), F.count_if("fine").alias("fine"), F.count_if(left).alias("left")).first()
+    unique = every.where(left).groupBy("digest").agg(F.min(F.struct("path", "line")).alias("at")).select("digest", "at.path", "at.line")
+    numbered = with_ordinal(unique, ["path", "line"])
+    eligible = numbered.count()
+    return numbered, {
+        "train_rows": trained.rows, "train_unique_records": trained.unique, "source_rows": seen.rows, "malformed_or_invalid_rows": seen.rows - seen.fine,
+        "excluded_train_overlap_rows": seen.fine - seen.left, "excluded_duplicate_source_rows": seen.left - eligible, "eligible_unique_rows": eligible,
+    }
+
+
 def holdout(source: DataFrame, train: DataFrame, count: int, seed: int) -> tuple[DataFrame, dict[str, int]]:
     """(rows, report). rows: count rows of source that train doesn't have, each once, drawn by a
-    reservoir over their order (path, line) and sorted by fingerprint. Both come as non-blank lines."""
-    own = training_rows(train).withColumn("digest", digest())
-    if bad := own.where(F.col("instruction").isNull()).count():
-        raise ValueError(f"{bad} training rows are invalid")
-    every = training_rows(source).withColumn("digest", digest())
-    valid = every.where(F.col("instruction").isNotNull())
-    rest = valid.join(own.select("digest").distinct(), "digest", "left_anti")
-    unique = first_of(rest, ["digest"], ["path", "line"]).where("nth = 1").drop("nth")
-    numbered = with_ordinal(unique, ["path", "line"])
-    total, usable, left, eligible = every.count(), valid.count(), rest.count(), numbered.count()
+    reservoir over their order (path, line) and sorted by fingerprint. Both come as non-blank lines.
+    Texts are read again only for the rows that are drawn."""
+    numbered, report = candidates(source, train)
+    eligible = report["eligible_unique_rows"]
     if eligible < count:
         raise ValueError(f"only {eligible} rows are left, {count} were asked for")
-    rows = taking(numbered, reservoir(eligible, count, seed)).select(*FIELDS, "digest").orderBy("digest")
-    train_rows = own.count()
-    return rows, {
-        "seed": seed, "requested_count": count, "written_count": count, "train_rows": train_rows, "train_unique_records": own.select("digest").distinct().count(),
-        "source_rows": total, "malformed_or_invalid_rows": total - usable, "excluded_train_overlap_rows": usable - left,
-        "excluded_duplicate_source_rows": left - eligible, "eligible_unique_rows": eligible,
-    }
+    drawn = taking(numbered, kept_in_reservoir(eligible, count, seed)).select("path", "line", "digest")
+    rows = training_rows(source.join(F.broadcast(drawn) if count <= LISTED else drawn, ["path", "line"])).select(*FIELDS, "digest").orderBy("digest")
+    return rows, {"seed": seed, "requested_count": count, "written_count": count, **report}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -55,14 +56,20 @@ def predictions_of(lines: DataFrame) -> DataFrame:
     return df.select("run", *[F.coalesce(F.try_variant_get("v", f"$.{n}", "string"), F.lit("")).alias(n) for n in ("predict", "label")])
 
 
-def collected(documents: DataFrame, lines: DataFrame) -> list[dict]:
-    """A row for each run that has metrics and predictions, in the order of their names. The rates are
-    rounded here: rounding in SQL goes by decimals and differs in the last place."""
+def collected(documents: DataFrame, lines: DataFrame, present: set[str] = frozenset()) -> list[dict]:
+    """A row for each run that has metrics and predictions, in the order of their names. present: runs
+    with a file of predictions; if it is empty, that is an error. The rates are rounded here: rounding
+    in SQL goes by decimals and differs in the last place."""
     own = {r.run: r.document for r in documents.collect()}
+    found = {r.run: r for r in structure(predictions_of(lines)).collect()}
     out = []
-    for r in sorted(structure(predictions_of(lines)).collect(), key=lambda r: r.run):
-        if r.run not in own:
+    for run in sorted(own):
+        if run not in found and run in present:
+            raise ValueError(f"the predictions of {run} are empty")
+        if run not in found:
+            warnings.warn(f"{run} has no predictions and is left out", stacklevel=2)
             continue
+        r = found[run]
         m = json.loads(own[r.run])
 
         def number(x) -> float:

@@ -2,7 +2,9 @@
 
 Which ordinals a sequential sampler takes depends only on the population, the size and the seed. They
 are drawn on the driver and joined to the rows' ordinals, so that a cluster takes the very rows that a
-pass over one file would.
+pass over one file would. That needs a random number for each row of the population; beyond EXACT rows
+the ordinals are drawn directly instead, uniformly, exactly as many and by the seed, in steps that grow
+with the sample alone.
 """
 
 from __future__ import annotations
@@ -15,6 +17,26 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from millrace.session import checkpointed
 
 
+#: Populations of which a sample is the one of a sequential pass.
+EXACT = 20_000_000
+#: Ordinals that may be broadcast.
+LISTED = 1_000_000
+
+
+def selected(population: int, size: int, seed: int, exact: int = EXACT) -> list[int]:
+    """Ordinals of a sample in source order: those of selection(), or drawn directly."""
+    if population <= exact or size >= population:
+        return selection(population, size, seed) if size < population else list(range(1, population + 1))
+    return sorted(random.Random(seed).sample(range(1, population + 1), size))
+
+
+def kept_in_reservoir(population: int, size: int, seed: int, exact: int = EXACT) -> list[int]:
+    """Ordinals of a sample by slot: those of reservoir(), or drawn directly."""
+    if population <= exact or size >= population:
+        return reservoir(population, size, seed)
+    return random.Random(seed).sample(range(1, population + 1), size)
+
+
 def selection(population: int, size: int, seed: int) -> list[int]:
     """Ordinals from 1 on that selection sampling takes: exactly size of them, or all."""
     rng, need, taken = random.Random(seed), min(size, population), []
@@ -50,20 +72,21 @@ def with_ordinal(df: DataFrame, order: list, name: str = "ordinal") -> DataFrame
 
 def taking(df: DataFrame, ordinals: Iterable[int], name: str = "ordinal") -> DataFrame:
     """The rows of df with these ordinals, and their place in the list as `slot`, from 0 on."""
+    ordinals = list(ordinals)
     listed = df.sparkSession.createDataFrame([(o, i) for i, o in enumerate(ordinals)], f"{name} long, slot long")
-    return df.join(listed, name)
+    return df.join(F.broadcast(listed) if len(ordinals) <= LISTED else listed, name)
 
 
 def sequential_sample(df: DataFrame, order: list, size: int, seed: int) -> DataFrame:
     """Exactly size rows, in uniform selection, with their ordinals."""
     numbered = with_ordinal(df, order)
-    return taking(numbered, selection(numbered.count(), size, seed)).drop("slot")
+    return taking(numbered, selected(numbered.count(), size, seed)).drop("slot")
 
 
 def reservoir_sample(df: DataFrame, order: list, size: int, seed: int) -> DataFrame:
     """What a reservoir of size holds after all rows, with their ordinals and slots."""
     numbered = with_ordinal(df, order)
-    return taking(numbered, reservoir(numbered.count(), size, seed))
+    return taking(numbered, kept_in_reservoir(numbered.count(), size, seed))
 
 
 def hash_sample(df: DataFrame, key: Column, size: int, seed: int) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace import __version__
@@ -13,12 +11,19 @@ from millrace.operators.anomalies import LEAST, MOST, anomalies
 from millrace.operators.holdout import FIELDS, holdout, training_rows
 from millrace.operators.recipe import Rulebook, cleaned, converted, slim, training_row
 from millrace.operators.route import CLEAN, REJECTED, REVIEW, deduplicated, routed
-from millrace.operators.sampling import reservoir, selection, taking, with_ordinal
+from millrace.operators.sampling import kept_in_reservoir, selected, taking, with_ordinal
 from millrace.operators.rules import document_of
 from millrace.session import checkpointed, prepared, sealed
 from millrace.sources import lines as sources, sinks
+from millrace.sources.files import joined
 
 ORDER = ["path", "line"]
+#: What the cleaning always does, as the report says it.
+POLICY = (
+    "flagged_records_are_routed_to_review", "animal_age_duration_exemption", "generic_title_checks", "ingredient_media_cleanup", "inline_media_deictic_cleanup",
+    "semantic_low_information_checks", "context_aware_duration_checks",
+)
+BUILT_IN = "built-in"
 NOTES = {"occurrence_or_application_counts": "同一食谱内的多次命中分别计数", "record_counts": "每条食谱的同类问题或规则最多计数一次"}
 
 
@@ -34,14 +39,9 @@ def rulebook(typos: str | None = None, noise: str | None = None, words: str | No
     return book
 
 
-def _read(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    text, blank = sources.split_blank(sources.lines(prepared(spark), path))
-    return text, blank.count()
-
-
 def _limited(text: DataFrame, limit: int | None) -> DataFrame:
-    """The first `limit` rows in order."""
-    return text.orderBy(*ORDER).limit(limit) if limit else text
+    """The rows with the first `limit` ordinals."""
+    return text.where(F.col("ordinal") <= limit) if limit else text
 
 
 def cleaning(text: DataFrame, book: Rulebook, deduplicate: bool = True) -> DataFrame:
@@ -63,21 +63,22 @@ def _counts(df: DataFrame) -> dict:
     }
 
 
-def clean(spark: SparkSession, input: str, output: str, review: str, rejected: str, report: str, book: Rulebook | None = None, deduplicate: bool = True, target_count: int | None = None, selection_seed: int = 20260722, scan_limit: int | None = None, overwrite: bool = False) -> dict:
-    """Cleans a corpus of JSONL into training rows, rows for review and rejected ones, and reports."""
+def clean(spark: SparkSession, input: str, output: str, review: str, rejected: str, report: str, book: Rulebook | None = None, deduplicate: bool = True, target_count: int | None = None, selection_seed: int = 20260722, scan_limit: int | None = None, overwrite: bool = False, rules: dict[str, str | None] | None = None, source: sources.Input | None = None) -> dict:
+    """Cleans a corpus of JSONL into training rows, rows for review and rejected ones, and reports.
+    rules: where the rules come from, for the report; source: the input, if it has been counted."""
     if len({output, review, rejected, report, input}) < 5:
         raise ValueError("input, output, review, rejected and report must be five different paths")
     for name, n in (("target_count", target_count), ("scan_limit", scan_limit)):
         if n is not None and n <= 0:
             raise ValueError(f"{name} must be positive")
-    text, blank = _read(spark, input)
-    df = checkpointed(cleaning(_limited(text, scan_limit), book or Rulebook(), deduplicate))
+    source = source or sources.Input(spark, input)
+    df = checkpointed(cleaning(_limited(source.text(), scan_limit).drop("ordinal"), book or Rulebook(), deduplicate))
     found = audits.summary(df).first().asDict()
     lines = checkpointed(sinks.envelopes(df))
     kept = lines.where(F.col("route") == CLEAN)
-    found["blank_lines"] = blank
+    found["blank_lines"] = source.counts["blank"]
     if target_count is not None:
-        kept = taking(with_ordinal(kept, ORDER), selection(found["eligible"], target_count, selection_seed))
+        kept = taking(with_ordinal(kept, ORDER), selected(found["eligible"], target_count, selection_seed))
         found["clean"] = min(target_count, found["eligible"])
         found["not_selected"] = found["eligible"] - found["clean"]
     else:
@@ -88,22 +89,25 @@ def clean(spark: SparkSession, input: str, output: str, review: str, rejected: s
     document = {
         "pipeline_version": __version__, "input": input, "output": output, "summary": {k: v for k, v in found.items() if v}, **_counts(df),
         "selection": {"requested": target_count, "selected": found["clean"], "seed": selection_seed if target_count is not None else None, "stage": "after_cleaning_validation_and_deduplication"},
-        "quality_policy": {"max_output_chars": MOST, "min_output_chars": LEAST, "unicode_normalization": "NFC", "flagged_records_are_routed_to_review": True},
+        "quality_policy": {"max_output_chars": MOST, "min_output_chars": LEAST, "unicode_normalization": "NFC"} | dict.fromkeys(POLICY, True),
+        "rules": {n: (rules or {}).get(n) or BUILT_IN for n in ("protected_words", "noise", "typo")},
     }
     sinks.write_document(document, report)
     return document
 
 
-def audit(spark: SparkSession, input: str, report: str, book: Rulebook | None = None, examples: int = 5, limit: int | None = None) -> dict:
+def audit(spark: SparkSession, input: str, report: str, book: Rulebook | None = None, examples: int = 5, limit: int | None = None, source: sources.Input | None = None) -> dict:
     """Counts issues and rules without writing records. Duplicates count as clean."""
-    text, blank = _read(spark, input)
+    source = source or sources.Input(spark, input)
+    text = source.text()
     if limit:
-        numbered = with_ordinal(text, ORDER)
-        stop = audits.audit_stop(numbered.withColumn("valid", strict_json(F.col("value")).isNotNull()), limit)
-        text = numbered.where(F.col("ordinal") <= stop).drop("ordinal") if stop else numbered.drop("ordinal")
+        # the first `limit` rows hold the place of the limit, or all valid ones before it
+        stop = audits.audit_stop(text.withColumn("valid", strict_json(F.col("value")).isNotNull()), limit)
+        text = text.where(F.col("ordinal") <= stop) if stop else text
+    text = text.drop("ordinal")
     df = checkpointed(cleaning(text, book or Rulebook(), deduplicate=False))
     found = audits.summary(df).first().asDict()
-    found |= {"clean": found.pop("eligible"), "blank_lines": blank}
+    found |= {"clean": found.pop("eligible"), "blank_lines": source.counts["blank"]}
 
     def grouped(rows, key: str) -> dict:
         out: dict = {}
@@ -116,23 +120,28 @@ def audit(spark: SparkSession, input: str, report: str, book: Rulebook | None =
     return document
 
 
-def bootstrap(spark: SparkSession, input: str, output_dir: str, sample_size: int = 100_000, seed: int = 20260722, min_typo_count: int = 3, min_protected_count: int = 10, min_ingredient_protected_count: int = 30, scan_limit: int | None = None, base_typos: str | None = None, base_words: str | None = None, canonical_terms: str | None = None, confusion_map: str | None = None) -> dict:
+def bootstrap(spark: SparkSession, input: str, output_dir: str, sample_size: int = 100_000, seed: int = 20260722, min_typo_count: int = 3, min_protected_count: int = 10, min_ingredient_protected_count: int = 30, scan_limit: int | None = None, base_typos: str | None = None, base_words: str | None = None, canonical_terms: str | None = None, confusion_map: str | None = None, source: sources.Input | None = None) -> dict:
     """Mines rules and protected words from a reservoir of the valid records, and writes both."""
     if min(sample_size, min_typo_count, min_protected_count, min_ingredient_protected_count) <= 0:
         raise ValueError("sizes and thresholds must be positive")
-    text, blank = _read(spark, input)
-    raw = records(_limited(text, scan_limit))
-    scan = raw.agg(F.count("*").alias("scanned"), F.count_if(~F.col("valid")).alias("invalid"), F.count_if("object").alias("valid")).first().asDict()
-    numbered = with_ordinal(slim(raw).drop("value"), ORDER)
-    sample = checkpointed(taking(numbered, reservoir(scan["valid"], sample_size, seed)))
-    scan |= {"blank": blank, "sampled": min(sample_size, scan["valid"])}
+    source = source or sources.Input(spark, input, parsed=True)
+    if scan_limit:  # what is scanned is bounded, so it can be numbered by itself
+        raw = checkpointed(records(_limited(source.text(), scan_limit).drop("ordinal")))
+        scan = raw.agg(F.count("*").alias("scanned"), F.count_if(~F.col("valid")).alias("invalid"), F.count_if("object").alias("valid")).first().asDict()
+        numbered = with_ordinal(slim(raw).drop("value"), ORDER)
+    else:
+        n = source.counts
+        scan = {"scanned": n["text"], "invalid": n["text"] - n["valid"], "valid": n["object"]}
+        numbered = source.objects()
+    taken = taking(numbered, kept_in_reservoir(scan["valid"], sample_size, seed))
+    sample = checkpointed(taken if scan_limit else slim(records(taken)).drop("value"))
+    scan |= {"blank": source.counts["blank"], "sampled": min(sample_size, scan["valid"])}
     base = sources.load_rules(base_typos) if base_typos else list(base_rules.TYPOS)
     terms = {t["term"]: t["fields"] for t in sources.load_json(canonical_terms)["terms"]} if canonical_terms else None
     confused = sources.load_json(confusion_map)["characters"] if confusion_map else None
     rules, typos, variants = mining.mined_rules(sample, base, terms, confused, min_typo_count)
     words, protected = mining.mined_words(sample, sources.load_protected_words(base_words) if base_words else None, variants, min_protected_count, min_ingredient_protected_count)
-    folder = Path(output_dir)
-    paths = {"typo_rules": str(folder / "typo_rules.generated.json"), "protected_words": str(folder / "protected_words.generated.txt")}
+    paths = {"typo_rules": joined(output_dir, "typo_rules.generated.json"), "protected_words": joined(output_dir, "protected_words.generated.txt")}
     sinks.write_document(document_of(rules), paths["typo_rules"])
     sinks.write_words(words, paths["protected_words"], "基础保护词与随机样本高频词的合并结果。")
     document = {
@@ -140,18 +149,17 @@ def bootstrap(spark: SparkSession, input: str, output_dir: str, sample_size: int
         "parameters": {"sample_size": sample_size, "seed": seed, "min_typo_count": min_typo_count, "min_protected_count": min_protected_count, "min_ingredient_protected_count": min_ingredient_protected_count},
         "typo_candidates": typos, "generated_typo_rules": sum(t["promoted"] for t in typos), "generated_protected_words": len(protected), "protected_word_candidates": protected, "outputs": paths,
     }
-    sinks.write_document(document, folder / "bootstrap_report.json")
+    sinks.write_document(document, joined(output_dir, "bootstrap_report.json"))
     return document
 
 
 def sample(spark: SparkSession, input: str, output: str, report: str, size: int = 100_000, seed: int = 20260810, overwrite: bool = False) -> dict:
     """Exactly `size` lines in uniform selection and source order, or all if there are fewer."""
-    text, blank = _read(spark, input)
-    numbered = with_ordinal(text, ORDER)
-    n = numbered.count()
+    source = sources.Input(spark, input)
+    n, blank = source.counts["text"], source.counts["blank"]
     if not n:
         raise ValueError("the input is empty")
-    taken = checkpointed(taking(numbered, selection(n, size, seed)).drop("slot"))
+    taken = checkpointed(taking(source.text(), selected(n, size, seed)).drop("slot"))
     bad = training_rows(taken, strip=False).where(F.col("instruction").isNull()).orderBy(*ORDER).select("line").first()
     if bad:
         raise ValueError(f"line {bad.line} is no training row")
@@ -171,8 +179,7 @@ def convert(spark: SparkSession, input: str, output: str, errors: str | None = N
         raise ValueError("limit must be positive")
     if input == output:
         raise ValueError("the output must not be the input")
-    text, _ = _read(spark, input)
-    raw = records(text)
+    raw = records(sources.Input(spark, input).text().drop("ordinal"))
     rows = converted(raw)
     last = None
     if limit:
@@ -191,7 +198,7 @@ def prepare_holdout(spark: SparkSession, source: str, train: str, output: str, r
     """An evaluation set of `count` rows of source that train doesn't have."""
     if count <= 0:
         raise ValueError("count must be positive")
-    rows, document = holdout(_read(spark, source)[0], _read(spark, train)[0], count, seed)
+    rows, document = holdout(sources.Input(spark, source).text(), sources.Input(spark, train).text(), count, seed)
     lines = checkpointed(rows.select("digest", sinks.json_line(*FIELDS))).orderBy("digest")
     sinks.write_lines(lines, output, overwrite)
     document = {"source_file": source, "train_file": train, "output_file": output, **document, "output_sha256": sinks.content_sha256(lines), "disjoint_rule": "no two rows share a BLAKE2b-128 of their three stripped fields"}
@@ -201,8 +208,7 @@ def prepare_holdout(spark: SparkSession, source: str, train: str, output: str, r
 
 def rank(spark: SparkSession, root: str) -> list[dict]:
     """Ranks the runs below root and writes the ranking beside them."""
-    documents, predictions = sources.runs(prepared(spark), root)
-    rows = ranking.ranked(ranking.collected(documents, predictions))
+    rows = ranking.ranked(ranking.collected(*sources.runs(prepared(spark), root)))
     if not rows:
         raise ValueError(f"no run with metrics and predictions below {root}")
     sinks.write_ranking(rows, root)
@@ -211,14 +217,16 @@ def rank(spark: SparkSession, root: str) -> list[dict]:
 
 def run(spark: SparkSession, input: str, output_dir: str = "pipeline_output", sample_size: int = 100_000, seed: int = 20260722, min_typo_count: int = 3, min_protected_count: int = 10, min_ingredient_protected_count: int = 30, with_audit: bool = False, target_count: int | None = None, selection_seed: int = 20260722, scan_limit: int | None = None, overwrite: bool = False) -> dict:
     """Bootstrap, the optional audit, and cleaning with what was mined."""
-    out = Path(output_dir)
-    config = out / "generated_config"
-    mined = bootstrap(spark, input, str(config), sample_size, seed, min_typo_count, min_protected_count, min_ingredient_protected_count, scan_limit)
-    book = rulebook(typos=mined["outputs"]["typo_rules"], words=mined["outputs"]["protected_words"])
+    source = sources.Input(spark, input, parsed=True)  # counted once, then read to mine and to clean
+    at = lambda name: joined(output_dir, name)
+    config = at("generated_config")
+    mined = bootstrap(spark, input, config, sample_size, seed, min_typo_count, min_protected_count, min_ingredient_protected_count, scan_limit, source=source)
+    generated = {"typo": mined["outputs"]["typo_rules"], "protected_words": mined["outputs"]["protected_words"]}
+    book = rulebook(typos=generated["typo"], words=generated["protected_words"])
     if with_audit:
-        audit(spark, input, str(out / "audit_report.json"), book, limit=scan_limit)
-    paths = {"train": str(out / "recipe_train_clean.jsonl"), "review": str(out / "recipe_review.jsonl"), "rejected": str(out / "recipe_rejected.jsonl"), "report": str(out / "clean_report.json")}
-    document = clean(spark, input, paths["train"], paths["review"], paths["rejected"], paths["report"], book, True, target_count, selection_seed, scan_limit, overwrite)
-    manifest = {"pipeline_version": __version__, "input": input, "output_dir": output_dir, "generated_config": {**mined["outputs"], "bootstrap_report": str(config / "bootstrap_report.json")}, "outputs": paths, "requested_target_count": target_count, "selection_seed": selection_seed if target_count is not None else None}
-    sinks.write_document(manifest, out / "manifest.json")
+        audit(spark, input, at("audit_report.json"), book, limit=scan_limit, source=source)
+    paths = {"train": at("recipe_train_clean.jsonl"), "review": at("recipe_review.jsonl"), "rejected": at("recipe_rejected.jsonl"), "report": at("clean_report.json")}
+    document = clean(spark, input, paths["train"], paths["review"], paths["rejected"], paths["report"], book, True, target_count, selection_seed, scan_limit, overwrite, generated, source)
+    manifest = {"pipeline_version": __version__, "input": input, "output_dir": output_dir, "generated_config": {**mined["outputs"], "bootstrap_report": joined(config, "bootstrap_report.json")}, "outputs": paths, "requested_target_count": target_count, "selection_seed": selection_seed if target_count is not None else None}
+    sinks.write_document(manifest, at("manifest.json"))
     return manifest | {"summary": document["summary"]}

@@ -17,7 +17,7 @@ from millrace.functions.variant import is_object, records, strict_json, text_fie
 from millrace.operators import audit, base_rules, mining, ranking, sampling
 from millrace.operators.diagnosis import diagnosed
 from millrace.operators.recipe import Rulebook, converted, output_text, repaired_order
-from millrace.operators.route import CLEAN, DUPLICATE, REJECTED, REVIEW, first_of
+from millrace.operators.route import deduplicated, first_of, routed
 from millrace.operators.rules import Compiled, Rule
 from millrace.plans.recipes import cleaning
 from millrace.session import prepared
@@ -77,38 +77,36 @@ def exact_dedup_first(spark, sf_dir):
 
 
 def _stand_ins(spark, sf_dir) -> DataFrame:
-    """Documents as routed records: flags for short and long texts, repeated lines and addresses."""
+    """Documents as cleaned records: flags for short and long texts, repeated lines and addresses. One
+    that is too short lacks its steps, so that it is a structural failure."""
     df = _table(spark, sf_dir, "documents").withColumn("lines", _lines_of(F.col("text")))
     n = F.size("lines")
     flag = lambda code, cond: F.when(cond, F.struct(F.lit(code).alias("code"), F.lit("text").alias("field"), F.col("n_chars").cast("string").alias("detail")))
     per_line = F.transform(F.filter("lines", lambda x: F.contains(x, F.lit("@"))), lambda x: F.struct(F.lit("address").alias("code"), F.lit("text").alias("field"), F.length(x).cast("string").alias("detail")))
     flags = F.concat(F.array_compact(F.array(
-        flag("too_short", F.length("text") < 35), flag("overlong", F.length("text") > 8000),
+        flag("missing_instructions", F.length("text") < 35), flag("overlong", F.length("text") > 8000),
         flag("repeated", (n >= 4) & (F.size(F.array_distinct("lines")) <= F.greatest(F.lit(1), F.floor(n / 4)))),
     )), per_line)
-    return df.select("doc_id", F.lit("documents").alias("path"), F.col("doc_id").alias("line"), F.element_at("lines", 1).alias("name"), "text", "lines", flags.alias("flags"))
+    df = df.withColumn("flags", flags)
+    change = F.transform(F.filter("flags", lambda f: f["code"] == "address"), lambda f: F.struct(F.lit("hide_address").alias("rule"), f["field"].alias("field"), f["detail"].cast("int").alias("count"), F.lit("").alias("reason")))
+    return df.select("doc_id", F.lit("documents").alias("path"), F.col("doc_id").alias("line"), F.lit(True).alias("valid"), F.lit(True).alias("object"), F.element_at("lines", 1).alias("name"), F.col("lines").alias("recipeIngredient"), F.col("lines").alias("recipeInstructions"), "flags", change.alias("changes"))
 
 
 _FLAGS = f"""
     l AS (SELECT doc_id, text, n_chars, {_LINES} AS lines FROM documents),
     f AS (
-        SELECT doc_id, 0 AS pos, 'too_short' AS code, n_chars::VARCHAR AS detail FROM l WHERE length(text) < 35
+        SELECT doc_id, 0 AS pos, 'missing_instructions' AS code, n_chars::VARCHAR AS detail FROM l WHERE length(text) < 35
         UNION ALL SELECT doc_id, 1, 'overlong', n_chars::VARCHAR FROM l WHERE length(text) > 8000
         UNION ALL SELECT doc_id, 2, 'repeated', n_chars::VARCHAR FROM l WHERE len(lines) >= 4 AND len(list_distinct(lines)) <= greatest(1, len(lines) // 4)
         UNION ALL SELECT doc_id, 3 + i, 'address', length(x)::VARCHAR FROM (SELECT doc_id, unnest(lines) AS x, unnest(range(len(lines))) AS i FROM l) WHERE contains(x, '@'))"""
 
 
 def _routed(spark, sf_dir) -> DataFrame:
-    df = _stand_ins(spark, sf_dir)
-    codes = F.transform("flags", lambda f: f["code"])
-    df = df.withColumn("route", F.when(F.array_contains(codes, "too_short"), REJECTED).when(F.size("flags") > 0, REVIEW).otherwise(CLEAN))
-    key = F.when(F.col("route") == CLEAN, F.sha2(F.array_join("lines", "\n"), 256)).otherwise(F.concat(F.lit("#"), F.col("doc_id").cast("string")))
-    again = first_of(df.withColumn("key", key).drop("text", "lines"), ["key"], ["doc_id"])
-    return again.withColumn("route", F.when((F.col("route") == CLEAN) & (F.col("nth") > 1), DUPLICATE).otherwise(F.col("route")))
+    return deduplicated(routed(_stand_ins(spark, sf_dir)))
 
 
 _ROUTES = f"""WITH {_FLAGS},
-    r AS (SELECT doc_id, {_NORMAL} AS body, CASE WHEN doc_id IN (SELECT doc_id FROM f WHERE code = 'too_short') THEN 'rejected' WHEN doc_id IN (SELECT doc_id FROM f) THEN 'review' ELSE 'clean' END AS route FROM documents),
+    r AS (SELECT doc_id, {_NORMAL} AS body, CASE WHEN doc_id IN (SELECT doc_id FROM f WHERE code = 'missing_instructions') THEN 'rejected' WHEN doc_id IN (SELECT doc_id FROM f) THEN 'review' ELSE 'clean' END AS route FROM documents),
     d AS (SELECT doc_id, CASE WHEN route = 'clean' AND row_number() OVER (PARTITION BY CASE WHEN route = 'clean' THEN body ELSE '#' || doc_id END ORDER BY doc_id) > 1 THEN 'duplicate' ELSE route END AS route FROM r)"""
 
 
@@ -132,6 +130,11 @@ def examples_per_issue(spark, sf_dir):
     return audit.issue_examples(_stand_ins(spark, sf_dir), 5)
 
 
+@query(f"WITH {_FLAGS}, n AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY doc_id, pos) AS nth FROM f WHERE code = 'address') SELECT 'hide_address' AS rule, n.nth, n.doc_id AS line, l.lines[1] AS name, 'text' AS field, n.detail::INT AS count FROM n JOIN l USING (doc_id) WHERE nth <= 5")
+def rule_examples(spark, sf_dir):
+    return audit.rule_examples(_stand_ins(spark, sf_dir), 5)
+
+
 @query(f"WITH l AS (SELECT doc_id, {_LINES} AS lines FROM documents) SELECT doc_id, len(lines) AS n_lines, len(list_distinct(lines)) AS n_distinct FROM l WHERE len(lines) >= 4 AND len(list_distinct(lines)) <= greatest(1, len(lines) // 4)")
 def repeated_lines(spark, sf_dir):
     df = _table(spark, sf_dir, "documents").select("doc_id", _lines_of(F.col("text")).alias("lines"))
@@ -209,36 +212,12 @@ def hash_sample(spark, sf_dir):
     return sampling.hash_sample(_table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"), SIZE, SEED)
 
 
-@query("SELECT doc_id, ordinal FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS ordinal FROM documents) WHERE ordinal <= 25")
-def scan_limit(spark, sf_dir):
-    return sampling.with_ordinal(_table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"]).where("ordinal <= 25")
-
-
 @query("SELECT doc_id, n_chars FROM documents WHERE length(text) >= 35 ORDER BY doc_id LIMIT 20")
 def output_limit(spark, sf_dir):
     """Limits what is written, not what is read."""
     return _table(spark, sf_dir, "documents").where(F.length("text") >= 35).orderBy("doc_id").limit(20).select("doc_id", "n_chars")
 
 
-@query(f"""
-    WITH t AS (SELECT doc_id FROM documents ORDER BY md5('{SEED}|' || doc_id) LIMIT {SIZE}),
-    d AS (SELECT doc_id, md5({_NORMAL}) AS digest FROM documents),
-    r AS (SELECT * FROM d WHERE digest NOT IN (SELECT digest FROM d WHERE doc_id IN (SELECT doc_id FROM t)))
-    SELECT min(doc_id) AS doc_id, digest FROM r GROUP BY digest""")
-def holdout_antijoin(spark, sf_dir):
-    """What a training sample doesn't have, each text once."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.md5(kept_lines(F.col("text"))).alias("digest"))
-    train = sampling.hash_sample(docs, F.col("doc_id"), SIZE, SEED)
-    rest = docs.join(train.select("digest").distinct(), "digest", "left_anti")
-    return first_of(rest, ["digest"], ["doc_id"]).where("nth = 1").select("doc_id", "digest")
-
-
-@query(f"SELECT DISTINCT md5({_NORMAL}) AS digest FROM documents EXCEPT SELECT md5({_NORMAL}) FROM documents WHERE source = 'src0'")
-def except_fingerprints(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("source", F.md5(kept_lines(F.col("text"))).alias("digest"))
-    return docs.select("digest").subtract(docs.where("source = 'src0'").select("digest"))
-
-
 @query("""
     SELECT u.conv_id, u.turn, u.text AS instruction, '' AS input, a.text AS output FROM conversations u
     JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'""")
@@ -260,17 +239,6 @@ def format_output(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", output_text(F.lit(""), lines, lines).alias("output"))
 
 
-@query("""
-    WITH w AS (SELECT source, doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,8}')) AS term FROM documents),
-    c AS (SELECT term, count(*) FILTER (source = 'src0') AS first, count(*) FILTER (source <> 'src0') AS rest FROM w GROUP BY term)
-    SELECT term, first, rest FROM c WHERE (first >= 30 OR rest >= 400) AND term NOT IN ('with', 'that') AND NOT regexp_matches(term, 'tion|ough')""")
-def term_mining(spark, sf_dir):
-    """Terms by source, those that are frequent in either, without known and excluded ones."""
-    w = _table(spark, sf_dir, "documents").select("source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,8}"), 0)).alias("term"))
-    c = w.groupBy("term").agg(F.count_if(F.col("source") == "src0").alias("first"), F.count_if(F.col("source") != "src0").alias("rest"))
-    return c.where("first >= 30 OR rest >= 400").where(~F.col("term").isin("with", "that") & ~F.col("term").rlike("tion|ough"))
-
-
 _SEARCHED = ("the", "and", "ion", "anan", "que")
 
 
@@ -308,28 +276,6 @@ def ingredient_repair(spark, sf_dir):
     return df.withColumn("changed", (F.col("text") != F.col("repaired")).cast("int"))
 
 
-@query("""
-    SELECT role, count(*) AS samples, count(*) FILTER (trim(text) = '') AS empty, count(*) FILTER (regexp_matches(text, '(?m)^\\s*[0-9]+[.)]')) AS numbered,
-        avg(length(text) / greatest(turn, 1))::DECIMAL(18,4) AS mean, median(length(text) / greatest(turn, 1))::DECIMAL(18,4) AS median FROM conversations GROUP BY role""")
-def structure_rates(spark, sf_dir):
-    c = _table(spark, sf_dir, "conversations").select("role", F.col("text").alias("predict"), F.length("text").alias("n"), "turn")
-    ratio = F.col("n") / F.greatest(F.col("turn"), F.lit(1))
-    return c.groupBy("role").agg(
-        F.count("*").alias("samples"), F.count_if(F.trim("predict") == "").alias("empty"), F.count_if(ranking.is_numbered(F.col("predict"))).alias("numbered"),
-        F.avg(ratio).cast("decimal(18,4)").alias("mean"), F.median(ratio).cast("decimal(18,4)").alias("median"),
-    )
-
-
-@query("""
-    WITH r AS (SELECT source, count(*) AS labelled, sum(quality)::BIGINT AS good, sum(toxic)::BIGINT AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY source)
-    SELECT source, labelled, good, toxic, row_number() OVER (ORDER BY good DESC, toxic DESC, source) AS rank FROM r""")
-def rank_runs(spark, sf_dir):
-    """Sources ranked like runs. The join is on ids alone, of which the labels have the fewer."""
-    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "source"), _table(spark, sf_dir, "labels")
-    r = docs.join(labels, "doc_id").groupBy("source").agg(F.count("*").alias("labelled"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"))
-    return ranking.with_rank(r, ["good", "toxic"], "source")
-
-
 @query("""
     SELECT event_id, json_type(props) AS kind, CASE WHEN json_type(props, '$.k') = 'VARCHAR' THEN json_extract_string(props, '$.k') ELSE '' END AS k FROM events""")
 def json_strict(spark, sf_dir):
@@ -370,18 +316,6 @@ def meaningful_chars(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", plain_length(F.col("text")).cast("long").alias("n"))
 
 
-@query("""
-    WITH a AS (SELECT source AS word, 0 AS part, min(doc_id) AS seen FROM documents WHERE doc_id < 10 GROUP BY source UNION ALL SELECT lang, 1, min(doc_id) FROM documents GROUP BY lang UNION ALL SELECT source, 1, min(doc_id) FROM documents GROUP BY source)
-    SELECT word, row_number() OVER (ORDER BY part, seen, word) AS place FROM (SELECT word, part, seen, row_number() OVER (PARTITION BY word ORDER BY part, seen) AS nth FROM a) WHERE nth = 1""")
-def ordered_union(spark, sf_dir):
-    """UNION DISTINCT in which each word keeps its first place, those of the first table before others."""
-    d = _table(spark, sf_dir, "documents")
-    first = lambda df, c, part: df.groupBy(F.col(c).alias("word")).agg(F.min("doc_id").alias("at")).withColumn("part", F.lit(part))
-    a = first(d.where("doc_id < 10"), "source", 0).unionByName(first(d, "lang", 1)).unionByName(first(d, "source", 1))
-    a = first_of(a, ["word"], ["part", "at"]).where("nth = 1")
-    return a.select("word", F.row_number().over(W.orderBy("part", "at", "word")).alias("place"))
-
-
 def _recipe(**own) -> str:
     base = {"name": "红烧肉", "dish": "红烧肉", "description": "家常菜", "recipeIngredient": ["500克五花肉", "盐少许", "生姜三片"], "recipeInstructions": ["把五花肉洗净切块焯水", "加入冰糖炒出糖色", "加水炖四十分钟即可装盘"]}
     return json.dumps(base | own, ensure_ascii=False)
@@ -459,6 +393,11 @@ def log_diagnosis(spark, sf_dir):
     return df.select("id", F.array_join(F.col("progress").cast("array<string>"), ",").alias("progress"), F.array_join("metrics", ",").alias("metrics"), "category", "detail")
 
 
-@query("SELECT e.event_id, coalesce(try_cast(event_type AS DOUBLE), 0.0) AS number, value FROM events e")
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN value WHEN 1 THEN user_id ELSE 0 END::DOUBLE AS number FROM events")
 def safe_floats(spark, sf_dir):
-    return _table(spark, sf_dir, "events").select("event_id", ranking.safe_float(F.col("event_type")).alias("number"), "value")
+    """Numbers in several spellings, and what is none."""
+    said = F.when(F.expr("event_id % 4 = 0"), F.col("value").cast("string")).when(F.expr("event_id % 4 = 1"), F.format_string(" %d ", F.col("user_id"))).when(F.expr("event_id % 4 = 2"), F.col("event_type"))
+    return _table(spark, sf_dir, "events").select("event_id", ranking.safe_float(said).alias("number"))
+
+
+from millrace.plans import registry_files, registry_records  # noqa: E402, F401 - they register further queries

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,19 +27,43 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder of the cluster."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_root(spark: SparkSession) -> None:
+    """Sets the checkpoint folder that the session names, if none is set yet."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             own = tempfile.mkdtemp(prefix="millrace-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)
             folder = f"file://{own}"
         sc.setCheckpointDir(folder)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder of the cluster."""
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path for files in the shared folder, which are removed when the driver ends."""
+    sc = spark.sparkContext
+    checkpoint_root(spark)
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/millrace-{name}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        try:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session may be gone by then
+            pass
+
+    atexit.register(remove)
+    return path
+
+
 def sealed(df: DataFrame) -> DataFrame:
     """df behind a filter that lets all pass and that nothing can be moved across. Without it the
     optimizer merges what follows with long expressions below, which would then stand there several

@@ -9,22 +9,72 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from millrace.functions.text import is_blank
+from millrace.functions.variant import is_object, strict_json
 from millrace.operators.rules import Rule, rules_of
+from millrace.session import checkpointed, prepared
+from millrace.sources.files import read_text
 
 TAIL_BYTES = 8 << 20
+#: Splits whose counts may be broadcast, some 50 bytes each.
+SPLITS = 1_000_000
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, value) of plain or gzipped text; `line` counts from 1 in each file.
+class Input:
+    """A text or JSONL input, plain or gzipped, whose splits are counted once.
 
-    Spark reads a file in splits. Their rows are counted first, which gives each split its first line
-    number; within one, rows keep their order. No sort and no shuffle of the text is needed.
+    Spark reads a file in splits. The counting scan gives each split its first line number and the
+    ordinals of its rows; within a split, rows keep their order. So numbering sorts nothing and shuffles
+    no text: the counts are joined by a broadcast, as long as there are at most SPLITS of them.
+    counts: lines, blank (of white space only), text (the others), and `valid` (JSON) and `object` of
+    these if parsed.
     """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
-    splits = raw.groupBy("path", "at").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    before = F.sum("n").over(W.partitionBy("path").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
-    splits = splits.select("path", "at", "first", F.coalesce(before, F.lit(0)).alias("before"))
-    return raw.join(splits, ["path", "at"]).select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value")
+
+    def __init__(self, spark: SparkSession, path: str, parsed: bool = False) -> None:
+        self.raw = prepared(spark).read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+        blank = is_blank(F.col("value"))
+        seen = self.raw.withColumn("_blank", blank)
+        kinds = {"text": ~F.col("_blank")}
+        if parsed:
+            seen = seen.withColumn("_v", F.when(~F.col("_blank"), strict_json(F.col("value"))))
+            kinds |= {"valid": F.col("_v").isNotNull(), "object": is_object(F.col("_v"))}
+        splits = seen.groupBy("path", "at").agg(F.count("*").alias("lines"), F.min("id").alias("first"), *[F.count_if(c).alias(n) for n, c in kinds.items()])
+        self.splits = checkpointed(splits)
+        found = self.splits.agg(F.count("*").alias("splits"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("lines", *kinds)]).first().asDict()
+        self._few = found.pop("splits") <= SPLITS
+        self.counts = found | {"blank": found["lines"] - found["text"]}
+
+    def _numbered(self, rows: DataFrame, kind: str) -> DataFrame:
+        """(path, line, value, ordinal): ordinal counts from 1 over all files in the order of their paths.
+        rows: raw, filtered to one kind of row, with own ids."""
+        before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        part = F.shiftright("first", 33)
+        places = self.splits.select(
+            "path", "at", "first", before("lines", W.partitionBy("path").orderBy("at")).alias("_line"), before(kind, W.orderBy("path", "at")).alias("_ordinal"),
+            # rows of a kind get new ids, from the start of their partition on
+            (F.shiftleft(part, 33) + before(kind, W.partitionBy(part).orderBy("first"))).alias("_own"),
+        )
+        joined = rows.join(F.broadcast(places) if self._few else places, ["path", "at"])
+        return joined.select("path", (F.col("_line") + F.col("id") - F.col("first") + 1).alias("line"), "value", (F.col("_ordinal") + F.col("_id") - F.col("_own") + 1).alias("ordinal"))
+
+    def text(self) -> DataFrame:
+        """The lines that aren't blank, with their ordinals among these."""
+        return self._numbered(self.raw.where(~is_blank(F.col("value"))).withColumn("_id", F.monotonically_increasing_id()), "text")
+
+    def objects(self) -> DataFrame:
+        """The lines that are JSON objects, with their ordinals among these."""
+        fine = ~is_blank(F.col("value")) & is_object(strict_json(F.col("value")))
+        return self._numbered(self.raw.where(fine).withColumn("_id", F.monotonically_increasing_id()), "object")
+
+    def blank(self) -> DataFrame:
+        return self._lines().where(is_blank(F.col("value")))
+
+    def _lines(self) -> DataFrame:
+        return self._numbered(self.raw.withColumn("_id", F.col("id")), "lines").drop("ordinal")
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value) of plain or gzipped text; `line` counts from 1 in each file."""
+    return Input(spark, path)._lines()
 
 
 def split_blank(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,26 +89,29 @@ def load_rules(path: str | Path) -> list[Rule]:
 
 def load_protected_words(path: str | Path) -> list[str]:
     """One word a line; blank lines and comments are skipped."""
-    with open(path, encoding="utf-8") as f:
-        return [w for w in (x.strip() for x in f) if w and not w.startswith("#")]
+    return [w for w in (x.strip() for x in read_text(path).split("\n")) if w and not w.startswith("#")]
 
 
 def load_json(path: str | Path, default=None):
     """A JSON document. With a default, also where the file is missing or no JSON."""
     try:
-        return json.loads(Path(path).read_text(encoding="utf-8"))
+        return json.loads(read_text(path))
     except (OSError, ValueError):
         if default is None:
             raise
         return default
 
 
-def runs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(run, document) of root/*/metrics.json and (run, line, value) of the predictions beside them."""
+def runs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, set[str]]:
+    """(run, document) of root/*/metrics.json, (run, line, value) of the predictions beside them, and the
+    runs that have a file of these, be it empty."""
     run = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
     metrics = spark.read.text(f"{root}/*/metrics.json", wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    predictions = lines(spark, f"{root}/*/generated_predictions.jsonl")
-    return metrics.select(run.alias("run"), F.col("value").alias("document")), predictions.select(run.alias("run"), "line", "value")
+    every = f"{root}/*/generated_predictions.jsonl"
+    files = spark.read.format("binaryFile").load(every).select("path") if metrics.count() else metrics.select("path")
+    present = {r.run for r in files.select(run.alias("run")).collect()}
+    predictions = lines(spark, every)
+    return metrics.select(run.alias("run"), F.col("value").alias("document")), predictions.select(run.alias("run"), "line", "value"), present
 
 
 def tail(path: str | Path, size: int = TAIL_BYTES) -> str:

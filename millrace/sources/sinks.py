@@ -6,11 +6,12 @@ import csv
 import hashlib
 import io
 import json
-import os
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.sources.files import joined, write_text
+
 FIELDS = ("name", "dish", "description", "recipeIngredient", "recipeInstructions", "keywords")
 RAW_CHARS = 2000
 
@@ -52,17 +53,6 @@ def write_document(document, path: str | Path) -> None:
     write_text(json.dumps(document, ensure_ascii=False, indent=2) + "\n", path)
 
 
-def write_text(text: str, path: str | Path) -> None:
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    beside = path.with_name(f".{path.name}.{os.getpid()}.tmp")
-    try:
-        beside.write_bytes(text.encode())
-        os.replace(beside, path)
-    finally:
-        beside.unlink(missing_ok=True)
-
-
 def write_words(words: list[str], path: str | Path, header: str) -> None:
     write_text(f"# {header}\n" + "".join(f"{w}\n" for w in words), path)
 
@@ -80,18 +70,17 @@ def write_ranking(rows: list[dict], root: str | Path) -> None:
     """Ranked runs (see ranking.ranked) as JSON, CSV and Markdown, and the path of the best one."""
     from millrace.operators.ranking import is_candidate
 
-    root = Path(root)
-    write_document(rows, root / "checkpoint_ranking.json")
+    write_document(rows, joined(root, "checkpoint_ranking.json"))
     table = io.StringIO(newline="")
     out = csv.DictWriter(table, list(rows[0]))
     out.writeheader()
     out.writerows(rows)
-    write_text(table.getvalue(), root / "checkpoint_ranking.csv")
+    write_text(table.getvalue(), joined(root, "checkpoint_ranking.csv"))
     columns = [("ROUGE-L", "rouge_l", ".4f"), ("ROUGE-2", "rouge_2", ".4f"), ("BLEU-4", "bleu_4", ".4f"), ("食谱格式率", "recipe_format_rate", ".2f"), ("编号步骤率", "numbered_steps_rate", ".2f"), ("思考泄漏率", "thinking_leak_rate", ".2f"), ("长度比", "median_length_ratio", ".3f")]
     lines = ["# 评估排名", "", "| 排名 | 名称 | " + " | ".join(c for c, *_ in columns) + " |", "| ---: | --- |" + " ---: |" * len(columns)]
     for i, r in enumerate(rows, 1):
         cells = [f"{r[k]:{f}}" + ("%" if k.endswith("_rate") else "") for _, k, f in columns]
         lines.append(f"| {i if is_candidate(r) else '基线'} | {r['name']} | " + " | ".join(cells) + " |")
-    write_text("\n".join(lines) + "\n", root / "evaluation_report.md")
+    write_text("\n".join(lines) + "\n", joined(root, "evaluation_report.md"))
     if is_candidate(rows[0]):
-        write_text(str(rows[0]["checkpoint_path"] or rows[0]["name"]) + "\n", root / "best_checkpoint.txt")
+        write_text(str(rows[0]["checkpoint_path"] or rows[0]["name"]) + "\n", joined(root, "best_checkpoint.txt"))

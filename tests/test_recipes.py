@@ -3,16 +3,17 @@
 import gzip
 import hashlib
 import json
+import os
 
 import pytest
 
 from millrace import cli
 from millrace.functions.variant import records
-from millrace.operators import mining
+from millrace.operators import mining, sampling
 from millrace.operators.recipe import slim
 from millrace.operators.rules import rules_of
 from millrace.plans import recipes, registry
-from millrace.sources import lines as sources
+from millrace.sources import files, lines as sources
 
 LINES = [v for v, *_ in registry.CASES]
 
@@ -118,7 +119,7 @@ def test_sample_is_exact_ordered_and_hashed(spark, tmp_path):
     path.write_text("\n".join([row(i) for i in range(50)] + ["", row(50)]), encoding="utf-8")
     got = recipes.sample(spark, str(path), str(tmp_path / "s"), str(tmp_path / "r.json"), 20, 11)
     kept = [r["instruction"] for r in read(tmp_path / "s")]
-    want = [f"q{o - 1}" for o in recipes.selection(51, 20, 11)]
+    want = [f"q{o - 1}" for o in sampling.selection(51, 20, 11)]
     assert kept == want and got["source_blank_lines"] == 1 and got["selected_records"] == 20
     assert got["content_sha256"] == hashlib.sha256("".join(row(int(k[1:])) + "\n" for k in want).encode()).hexdigest()
     (tmp_path / "bad.jsonl").write_text('{"instruction": 1}\n')
@@ -134,7 +135,7 @@ def test_holdout_shares_nothing_with_training(spark, tmp_path):
     counts = [got[k] for k in ("source_rows", "malformed_or_invalid_rows", "excluded_train_overlap_rows", "excluded_duplicate_source_rows", "eligible_unique_rows", "train_rows")]
     assert counts == [45, 2, 11, 2, 30, 10]
     kept = [r["instruction"] for r in read(tmp_path / "h")]
-    assert sorted(kept) == sorted(f"q{o + 9}" for o in recipes.reservoir(30, 12, 4))
+    assert sorted(kept) == sorted(f"q{o + 9}" for o in sampling.reservoir(30, 12, 4))
     order = [hashlib.blake2b(json.dumps({"input": "", "instruction": k, "output": "a" + k[1:]}, separators=[",", ":"], ensure_ascii=False).encode(), digest_size=16).hexdigest() for k in kept]
     assert order == sorted(order)
     with pytest.raises(ValueError, match="only 30 rows"):
@@ -162,19 +163,29 @@ def test_ranking(spark, tmp_path, capsys):
     assert (rows[1]["empty_rate"], rows[1]["recipe_format_rate"], rows[1]["step"], rows[1]["median_length_ratio"]) == (50.0, 50.0, 10, round(len(good) / 4, 4))
     assert rows[3]["thinking_leak_rate"] == 100.0 and rows[2]["rouge_l"] == 0.0
     assert (tmp_path / "best_checkpoint.txt").read_text() == "/c/checkpoint-9\n"
+    (tmp_path / "base" / "generated_predictions.jsonl").write_text("\n")
+    assert cli.main(["rank", str(tmp_path)]) == 1
     assert "| 基线 | base |" in (tmp_path / "evaluation_report.md").read_text(encoding="utf-8") and (tmp_path / "checkpoint_ranking.csv").read_text().count("\n") == 5
 
 
 def test_status_of_a_run(spark, tmp_path, capsys):
-    (tmp_path / "s.json").write_text(json.dumps({"state": "RUNNING", "pid": 5}))
+    (tmp_path / "s.json").write_text(json.dumps({"state": "RUNNING", "pid": 2**22 + 5}))
     (tmp_path / "train_1.log").write_text(" 50%|#  | 2/4 [\nTraceback (most recent call last)\nKeyError: 'x'\n")
     for n in (20, 3):
         (tmp_path / f"checkpoint-{n}").mkdir()
     assert cli.main(["status", "--status-file", str(tmp_path / "s.json"), "--output-dir", str(tmp_path), "--json"]) == 2
     got = json.loads(capsys.readouterr().out)
-    assert (got["state"], got["progress"], got["checkpoints"], got["error_category"], got["error_detail"]) == ("UNEXPECTED_STOP", {"percent": 50, "step": 2, "total_steps": 4}, [3, 20], "Python 运行异常", "KeyError: 'x'")
+    assert (got["state"], got["progress"], got["checkpoint_count"], got["latest_checkpoint"], got["error_category"], got["error_detail"]) == ("UNEXPECTED_STOP", {"percent": 50, "step": 2, "total_steps": 4}, 2, str(tmp_path / "checkpoint-20"), "Python 运行异常", "KeyError: 'x'")
     assert cli.main(["status", "--status-file", str(tmp_path / "s.json"), "--alive"]) == 0
     assert cli.main(["status"]) == 3
+    assert "状态：没有状态" in capsys.readouterr().out
+    at = str(tmp_path / "t.json")
+    assert cli.main(["status", "--update-state", "RUNNING", "--status-file", at, "--pid", str(os.getpid())]) == 0
+    assert cli.main(["status", "--status-file", at, "--json"]) == 0 and json.loads(capsys.readouterr().out)["pid_alive"]
+    assert cli.main(["status", "--update-state", "FAILED", "--status-file", at, "--exit-code", "137"]) == 0
+    assert cli.main(["status", "--status-file", at]) == 2
+    held = json.loads((tmp_path / "t.json").read_text())
+    assert (held["state"], held["exit_code"], held["pid"]) == ("FAILED", 137, os.getpid()) and held["started_at"] <= held["ended_at"]
 
 
 def test_whole_pipeline_by_the_command(spark, corpus, tmp_path, capsys):
@@ -198,3 +209,36 @@ def test_stream_cleans_what_arrives(spark, tmp_path):
     run.awaitTermination(120)
     got = spark.table("arrived").collect()
     assert len(got) == sum(r == "clean" for _, r, *_ in registry.CASES[:8]) and {r.route for r in got} == {"clean"}
+
+
+def test_the_text_is_not_shuffled_and_is_read_three_times(spark, corpus, tmp_path, monkeypatch):
+    text = sources.Input(spark, str(corpus)).text()
+    plan = text._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan.split("Scan text")[-1]
+    monkeypatch.setattr(sources, "SPLITS", 0)
+    few = sources.Input(spark, str(corpus)).text()
+    assert sorted(few.collect()) == sorted(text.collect())
+
+
+def test_outputs_at_uris(spark, corpus, tmp_path):
+    """Reports, rules and manifests go where the tables go, by the file system of the URI."""
+    out = f"file://{tmp_path}/far"
+    recipes.run(spark, f"file://{corpus}", out, sample_size=10)
+    manifest = json.loads((tmp_path / "far" / "manifest.json").read_text(encoding="utf-8"))
+    assert manifest["outputs"]["train"] == f"{out}/recipe_train_clean.jsonl" and read(tmp_path / "far" / "recipe_train_clean.jsonl")
+    report = json.loads((tmp_path / "far" / "clean_report.json").read_text(encoding="utf-8"))
+    assert report["rules"]["typo"] == f"{out}/generated_config/typo_rules.generated.json" and report["quality_policy"]["generic_title_checks"] is True
+    assert files.joined("s3a://bucket/out/", "x") == "s3a://bucket/out/x" and not [p for p in (tmp_path / "far").iterdir() if p.name.endswith(".tmp")]
+
+
+def test_large_populations_are_drawn_directly():
+    a = sampling.selected(10**12, 1000, 5)
+    assert len(set(a)) == 1000 and a == sorted(a) and 1 <= a[0] and a[-1] <= 10**12 and a == sampling.selected(10**12, 1000, 5)
+    b = sampling.kept_in_reservoir(10**12, 1000, 5)
+    assert len(set(b)) == 1000 and sampling.kept_in_reservoir(50, 80, 1) == list(range(1, 51))
+    assert sampling.selected(1000, 30, 5) == sampling.selection(1000, 30, 5) and sampling.selected(7, 9, 1) == list(range(1, 8))
+    counts = [0] * 20
+    for seed in range(4000):
+        for o in sampling.selected(20, 5, seed, exact=0):
+            counts[o - 1] += 1
+    assert all(abs(c - 1000) < 130 for c in counts)
