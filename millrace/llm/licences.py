@@ -75,6 +75,12 @@ _PARTS = {
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
     "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "bsd-warranty": ["THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"],
+    "bsd-liability": ["IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES", "IN NO EVENT SHALL THE COPYRIGHT OWNER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES", "IN NO EVENT SHALL THE REGENTS OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES"],
+    "bsd-loss": ["LOSS OF USE, DATA, OR PROFITS"],
+    "bsd-theory": ["OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"],
+    "bsd-ads": ["All advertising materials mentioning features or use of this software must display the following acknowledgement"],
+    "isc-warranty": ["THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"],
+    "isc-liability": ["IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE"],
     "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
     "apache-head": ["Licensed under the Apache License, Version 2.0 (the \"License\")"],
     "apache-except": ["you may not use this file except in compliance with the License"],
@@ -90,6 +96,29 @@ _PARTS = {
     "unlicense-domain": ["This is free and unencumbered software released into the public domain"],
     "unlicense-anyone": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
     "zlib-use": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "zlib-warranty": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib-liability": ["In no event will the authors be held liable for any damages arising from the use of this software"],
+    "zlib-origin": ["The origin of this software must not be misrepresented"],
+    "zlib-claim": ["you must not claim that you wrote the original software"],
+    "zlib-acknowledge": ["If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required"],
+    "zlib-altered": ["Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software"],
+    "zlib-notice": ["This notice may not be removed or altered from any source distribution"],
+    "unlicense-dedicate": ["In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain"],
+    "unlicense-benefit": ["We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors"],
+    "unlicense-intend": ["We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law"],
+    "boost-grant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"],
+    "apache-title": ["Apache License Version 2.0, January 2004"],
+    "apache-terms": ["TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
+    "apache-copyright": ["Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form"],
+    "gpl-title-2": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "gpl-title-3": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "lgpl-title-3": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "lgpl-title-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "agpl-title-3": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "gpl-verbatim": ["Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"],
+    "gpl-received": ["You should have received a copy of the GNU General Public License along with this program", "You should have received a copy of the GNU Lesser General Public License along with this library", "You should have received a copy of the GNU Affero General Public License along with this program"],
+    "mpl-title": ["Mozilla Public License Version 2.0"],
+    "mpl-grants": ["Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license"],
     "rights": ["All rights reserved"],
 }
 
@@ -120,13 +149,20 @@ SENTENCES = _sentences()
 
 
 def _rules() -> list[tuple[str, list[str]]]:
-    bsd = ["bsd-grant", "bsd-source", "bsd-binary"]
+    bsd, damage = ["bsd-grant", "bsd-source", "bsd-binary"], ["bsd-liability", "bsd-loss", "bsd-theory"]
     rules = [
         ("MIT", ["mit-grant", "mit-notice", "mit-warranty", "mit-liability"]),
+        ("BSD-4-Clause", [*bsd, "bsd-ads", "bsd-endorse", "bsd-warranty", *damage]),
+        ("BSD-3-Clause", [*bsd, "bsd-endorse", "bsd-warranty", *damage]),
+        ("BSD-2-Clause", [*bsd, "bsd-warranty", *damage]),
         ("BSD-3-Clause", [*bsd, "bsd-endorse", "bsd-warranty"]),
         ("BSD-2-Clause", [*bsd, "bsd-warranty"]),
         ("Apache-2.0", ["apache-head", "apache-except", "apache-copy", "apache-basis", "apache-see"]),
-        ("ISC", ["isc-grant", "mit-warranty"]),
+        ("ISC", ["isc-grant", "isc-warranty", "isc-liability"]),
+        ("Zlib", ["zlib-warranty", "zlib-liability", "zlib-use", "zlib-origin", "zlib-claim", "zlib-acknowledge", "zlib-altered", "zlib-notice"]),
+        ("Unlicense", ["unlicense-domain", "unlicense-anyone", "unlicense-dedicate", "unlicense-benefit", "unlicense-intend"]),
+        ("Apache-2.0", ["apache-title", "apache-terms"]), ("LGPL-3.0", ["lgpl-title-3", "gpl-verbatim"]), ("LGPL-2.1", ["lgpl-title-2.1", "gpl-verbatim"]),
+        ("AGPL-3.0", ["agpl-title-3", "gpl-verbatim"]), ("GPL-3.0", ["gpl-title-3", "gpl-verbatim"]), ("GPL-2.0", ["gpl-title-2", "gpl-verbatim"]), ("MPL-2.0", ["mpl-title", "mpl-grants"]),
         ("MPL-2.0", ["mpl-head", "mpl-copy"]),
         ("Unlicense", ["unlicense-domain", "unlicense-anyone"]),
     ]
@@ -138,7 +174,7 @@ def _rules() -> list[tuple[str, list[str]]]:
     rules += [
         ("MIT", ["mit-grant", "mit-notice"]), ("BSD-3-Clause", [*bsd, "bsd-endorse"]), ("BSD-2-Clause", bsd),
         ("Apache-2.0", ["apache-head", "apache-except"]), ("Apache-2.0", ["apache-head"]), ("MPL-2.0", ["mpl-head"]),
-        ("ISC", ["isc-grant"]), ("Zlib", ["zlib-use"]), ("Unlicense", ["unlicense-domain"]),
+        ("ISC", ["isc-grant"]), ("Zlib", ["zlib-use"]), ("BSL-1.0", ["boost-grant"]), ("Apache-2.0", ["apache-title"]), ("Unlicense", ["unlicense-domain"]),
     ]
     for t in terms:  # the older wording has a semicolon in this sentence
         short, v = t[6:].split("-")[:2]
