@@ -8,6 +8,7 @@ is how the walk gets back into step after junk, cut frames and false sync words.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 
 import pyarrow as pa
@@ -44,17 +45,28 @@ def crc16(data: bytes, crc: int = 0xFFFF) -> int:
     return crc
 
 
+def crc16_bits(data: bytes, bits: int, crc: int = 0xFFFF) -> int:
+    """The checksum of the first bits of data."""
+    crc = crc16(data[: bits // 8], crc)
+    for i in range(bits % 8):
+        bit = data[bits // 8] >> (7 - i) & 1
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if crc >> 15 ^ bit else 0)
+    return crc
+
+
 class _Header:
     """What the second to fourth byte of a header say."""
 
-    __slots__ = ("kind", "size", "samples", "rate", "kbps", "channels", "protected", "side", "covered", "version", "layer")
+    __slots__ = ("kind", "size", "samples", "rate", "kbps", "channels", "protected", "side", "covered", "version", "layer", "pad", "bound", "widths")
 
     def __init__(self, a: int, b: int, c: int) -> None:
         v, l, r, k = (a >> 3) & 3, 4 - ((a >> 1) & 3), (b >> 2) & 3, b >> 4
         self.version, self.layer = _VERSION[v], l
         low = v != 3
-        self.rate, self.kbps = _RATES[v][r], _KBPS[1 + low, l][k - 1]
+        #: 0 kbps is a free format: all frames have one size, which the distance of two headers tells.
+        self.rate, self.kbps = _RATES[v][r], _KBPS[1 + low, l][k - 1] if k else 0
         pad, mode = (b >> 1) & 1, c >> 6
+        self.pad = pad * 4 if l == 1 else pad
         self.channels = 1 if mode == 3 else 2
         self.samples = 384 if l == 1 else 576 if l == 3 and low else 1152
         self.size = (12000 * self.kbps // self.rate + pad) * 4 if l == 1 else self.samples * 125 * self.kbps // self.rate + pad
@@ -67,21 +79,79 @@ class _Header:
             self.covered = 16 if mode == 3 else (bound * 8 + (32 - bound) * 4) // 8
         elif l == 2:
             self.covered = None
+            self.widths = _allocation(low, self.rate, self.kbps // self.channels)
+            self.bound = len(self.widths) if mode != 1 else min(len(self.widths), 4 * (((c >> 4) & 3) + 1))
         #: Frames of one stream are alike in these bits.
         self.kind = (v, l, r)
 
 
+def _allocation(low: bool, rate: int, kbps: int) -> list[int]:
+    """Bits of the allocation of each subband of layer 2, by the rate of one channel; none in a free format."""
+    if low:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    if kbps >= 56:
+        return [4] * 11 + [3] * 12 + [2] * (7 if kbps >= 96 and rate != 48000 else 4)
+    return [4] * 2 + [3] * (10 if rate == 32000 else 6) if kbps else []
+
+
+def layer2_bits(body: bytes, h: _Header) -> int | None:
+    """Bits behind the checksum of a frame of layer 2 that it covers: the allocation, and two for each
+    channel of a subband with any. None where the frame is too short to tell."""
+    word, have = int.from_bytes(body[:48], "big"), 8 * len(body[:48])
+    at = used = 0
+    for sb, width in enumerate(h.widths):
+        for _ in range(h.channels if sb < h.bound else 1):
+            at += width
+            if at > have:
+                return None
+            if word >> (have - at) & ((1 << width) - 1):
+                used += 1 if sb < h.bound else h.channels
+    return at + 2 * used if 8 * len(body) >= at + 2 * used else None
+
+
+def _checked(data: bytes, at: int, h: _Header, size: int) -> bool | None:
+    """Whether the checksum of a frame fits; None if it has none or nothing says what it covers."""
+    if not h.protected:
+        return None
+    body = data[at + 6 : at + size]
+    if h.layer == 2:
+        bits = layer2_bits(body, h) if h.widths else None
+    else:
+        bits = 8 * h.covered
+    return None if bits is None else crc16_bits(data[at + 2 : at + 4] + body[: -(-bits // 8)], 16 + bits) == data[at + 4] << 8 | data[at + 5]
+
+
+#: Bytes of a frame, beyond which no free-format stream goes.
+_MOST = 1 << 14
+
+
+def _free_size(data: bytes, at: int, h: _Header, end: int) -> int | None:
+    """The size of the frames of a free-format stream without padding: the distance to the next header of
+    the kind behind which another one follows at that distance, or the end of the stream."""
+    p = data.find(b"\xff", at + 24, min(end, at + _MOST))
+    while p >= 0:
+        o = header(data, p)
+        if o is not None and o.kind == h.kind and not o.kbps:
+            size = p - at - h.pad
+            after = p + size + o.pad
+            third = header(data, after)
+            if after == end or (third is not None and third.kind == h.kind and not third.kbps):
+                return size
+        p = data.find(b"\xff", p + 1, min(end, at + _MOST))
+    return None
+
+
 _KNOWN: dict[tuple[int, int, int], _Header | None] = {}
 
 
 def header(data: bytes, at: int) -> _Header | None:
-    """The frame header at a place, if there is one. Free-format streams are not supported."""
+    """The frame header at a place, if there is one."""
     if at + 4 > len(data) or data[at] != 0xFF:
         return None
     key = (data[at + 1], data[at + 2], data[at + 3] & 0xF0)
     if key not in _KNOWN:
         a, b, _ = key
-        fine = a >= 0xE0 and (a >> 3) & 3 != 1 and (a >> 1) & 3 != 0 and b >> 4 not in (0, 15) and (b >> 2) & 3 != 3
+        fine = a >= 0xE0 and (a >> 3) & 3 != 1 and (a >> 1) & 3 != 0 and b >> 4 != 15 and (b >> 2) & 3 != 3
         _KNOWN[key] = _Header(*key) if fine else None
     return _KNOWN[key]
 
@@ -124,22 +194,35 @@ def _vbr_table(frame: bytes, h: _Header) -> dict | None:
     for at in {4 + h.side, 6 + h.side} if h.layer == 3 else ():
         if frame[at : at + 4] in (b"Xing", b"Info") and len(frame) >= at + 8:
             flags, p = struct.unpack(">I", frame[at + 4 : at + 8])[0], at + 8
-            out = {"kind": frame[at : at + 4].decode(), "frames": None, "trim": 0}
-            if flags & 1 and len(frame) >= p + 4:
-                out["frames"] = struct.unpack(">I", frame[p : p + 4])[0]
-            p += 4 * (flags & 1) + 4 * (flags >> 1 & 1) + 100 * (flags >> 2 & 1) + 4 * (flags >> 3 & 1)
+            out = {"kind": frame[at : at + 4].decode(), "frames": None, "bytes": None, "seek": None, "trim": 0}
+            for bit, name in ((1, "frames"), (2, "bytes")):
+                if flags & bit:
+                    if len(frame) >= p + 4:
+                        out[name] = struct.unpack(">I", frame[p : p + 4])[0]
+                    p += 4
+            if flags & 4:
+                if len(frame) >= p + 100 and out["bytes"] is not None:
+                    out["seek"] = [x * out["bytes"] // 256 for x in frame[p : p + 100]]
+                p += 100
+            p += 4 * (flags >> 3 & 1)
             if frame[p : p + 4] in (b"LAME", b"Lavf", b"Lavc") and len(frame) >= p + 24:
                 gap = int.from_bytes(frame[p + 21 : p + 24], "big")
                 out["trim"] = (gap >> 12) + (gap & 0xFFF)
             return out
     if frame[36:40] == b"VBRI" and len(frame) >= 54:
-        return {"kind": "VBRI", "frames": struct.unpack(">I", frame[50:54])[0], "trim": 0}
+        out = {"kind": "VBRI", "frames": struct.unpack(">I", frame[50:54])[0], "bytes": struct.unpack(">I", frame[46:50])[0], "seek": None, "trim": 0}
+        if len(frame) >= 62:
+            n, scale, wide, _ = struct.unpack(">HHHH", frame[54:62])
+            if 1 <= wide <= 4 and len(frame) >= 62 + n * wide:
+                steps = [int.from_bytes(frame[62 + i * wide : 62 + (i + 1) * wide], "big") * scale for i in range(n)]
+                out["seek"] = list(itertools.accumulate(steps))
+        return out
     return None
 
 
 FIELDS = (
     "version string, layer int, sample_rate int, channels int, n_frames long, samples long, seconds decimal(20,9), mean_kbps double, vbr boolean, vbr_table string, "
-    "declared_frames long, crc_ok long, crc_bad long, skipped_bytes long, resyncs long, title string, artist string, offsets array<long>"
+    "declared_frames long, declared_bytes long, seek_table array<long>, crc_ok long, crc_bad long, skipped_bytes long, resyncs long, title string, artist string, offsets array<long>"
 )
 NAMES = [f.split()[0] for f in FIELDS.split(", ") if f]
 
@@ -161,13 +244,18 @@ def parse(data: bytes | None) -> dict | None:
                 tags.setdefault(name, text)
     kind, table, offsets, kbps = None, None, [], []
     samples = ok = bad = skipped = resyncs = 0
-    first, lost = None, False
+    first, lost, free = None, False, None
     while at + 4 <= end:
         h = header(data, at)
-        good = h is not None and (kind is None or h.kind == kind) and at + h.size <= end
+        good = h is not None and (kind is None or h.kind == kind)
+        size = h.size if good else 0
+        if good and not h.kbps:
+            free = free or _free_size(data, at, h, end)
+            good, size = free is not None, (free or 0) + h.pad
+        good = good and at + size <= end
         if good:
-            follow = header(data, at + h.size)
-            at_end = at + h.size == end or (offsets and at + h.size + 4 > end)
+            follow = header(data, at + size)
+            at_end = at + size == end or (offsets and at + size + 4 > end)
             good = at_end or (follow is not None and follow.kind == h.kind) or (bool(offsets) and not lost)
         if not good:
             nxt = data.find(b"\xff", at + 1, end)
@@ -178,26 +266,25 @@ def parse(data: bytes | None) -> dict | None:
             continue
         resyncs += lost and bool(offsets)
         lost = False
-        if h.protected and h.covered is not None:
-            body = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.covered]
-            fits = crc16(body) == data[at + 4] << 8 | data[at + 5]
+        fits = _checked(data, at, h, size)
+        if fits is not None:
             ok, bad = ok + fits, bad + (not fits)
         if kind is None:
             kind, first = h.kind, h
-            table = _vbr_table(data[at : at + h.size], h)
+            table = _vbr_table(data[at : at + size], h)
             if table:
-                at += h.size
+                at += size
                 continue
         offsets.append(at)
-        kbps.append(h.kbps)
+        kbps.append(h.kbps or (free * h.rate / (12000 * 4) if h.layer == 1 else free * h.rate / (h.samples * 125)))
         samples += h.samples
-        at += h.size
+        at += size
     skipped += max(0, end - at)
     trim = table["trim"] if table else 0
     out = dict.fromkeys(NAMES)
     out |= {"n_frames": len(offsets), "samples": max(0, samples - trim), "crc_ok": ok, "crc_bad": bad, "skipped_bytes": skipped, "resyncs": resyncs, "offsets": offsets, "title": tags.get("title"), "artist": tags.get("artist")}
     if first is not None:
-        out |= {"version": first.version, "layer": first.layer, "sample_rate": first.rate, "channels": first.channels, "vbr": len(set(kbps)) > 1, "mean_kbps": sum(kbps) / len(kbps) if kbps else None, "vbr_table": table and table["kind"], "declared_frames": table and table["frames"]}
+        out |= {"version": first.version, "layer": first.layer, "sample_rate": first.rate, "channels": first.channels, "vbr": len(set(kbps)) > 1, "mean_kbps": sum(kbps) / len(kbps) if kbps else None, "vbr_table": table and table["kind"], "declared_frames": table and table["frames"], "declared_bytes": table and table["bytes"], "seek_table": table and table["seek"]}
     return out
 
 
@@ -205,9 +292,11 @@ def audio_index(media: DataFrame, key: str = "page_id", audio: str = "audio") ->
     """The key of each row and what parse() finds in its audio (see FIELDS), one row for each.
 
     `samples` over `sample_rate` is the exact duration, without the table frame and the encoder's
-    padding; `seconds` is it to nine places. Frames of another version, layer or rate than the first
-    count as junk, checksums of layer 2 are not checked. A null stream has nulls throughout, an empty
-    one or one without a frame has 0 frames. Repeated rows and null keys give rows of their own; other
+    padding; `seconds` is it to nine places. seek_table: the places that the table names, in bytes from its
+    frame on (Xing, for each percent of the time) or from behind it (VBRI, for each of its steps). Frames
+    of another version, layer or rate than the first count as junk. Checksums are verified for all layers,
+    but for layer 2 in free format, whose allocation the header doesn't tell. Free-format frames of up to
+    16 KiB are found. A null stream has nulls throughout, an empty one or one without a frame has 0 frames. Repeated rows and null keys give rows of their own; other
     columns are not looked at. Empty tables: no rows.
     """
     narrow = [n for n in NAMES if n != "seconds"]
@@ -282,13 +371,16 @@ def encode(body: bytes, seed: int, title: str = "") -> tuple[bytes, dict]:
         out += raw
         at += room
         n += 1
+    declared = len(out) - table_at if table == 1 else len(out)
     if table:
         kind = {1: b"Xing" if vbr else b"Info", 2: b"VBRI"}[table]
         if table == 1:
-            fill = kind + struct.pack(">II", 1, n) + (b"LAME3.100" + bytes(12) + (576 << 12 | 700).to_bytes(3, "big") if trim else b"")
+            seek = [n_at * 3 % 256 if i else 0 for i in range(100)] if gap else None
+            fill = kind + struct.pack(">II", 7 if seek else 1, n) + (struct.pack(">I", len(out) - table_at) + bytes(seek) if seek else b"") + (b"LAME3.100" + bytes(12) + (576 << 12 | 700).to_bytes(3, "big") if trim else b"")
             spot = table_at + n_at
         else:
-            fill, spot = kind + struct.pack(">HHHII", 1, 0, 50, len(out), n), table_at + 36
+            seek = [len(r) for r in (body[:3], body[:7])] if gap else []
+            fill, spot = kind + struct.pack(">HHHIIHHHH", 1, 0, 50, len(out), n, len(seek), 4, 2, 1) + b"".join(x.to_bytes(2, "big") for x in seek), table_at + 36
         whole = bytearray(out[table_at : table_at + raw_size(out, table_at)])
         whole[spot - table_at : spot - table_at + len(fill)] = fill
         if protect:  # the table may lie in what the checksum covers
@@ -298,6 +390,8 @@ def encode(body: bytes, seed: int, title: str = "") -> tuple[bytes, dict]:
     if old:
         out += b"TAG" + title.encode("latin-1", "replace")[:30].ljust(30, b"\0") + bytes(95)
     truth |= {"offsets": offsets, "n_frames": n, "samples": max(0, n * first.samples - trim), "sample_rate": first.rate, "channels": first.channels, "version": first.version, "layer": 3, "vbr": len(set(kbps)) > 1, "vbr_table": {0: None, 1: "Xing" if vbr else "Info", 2: "VBRI"}[table], "declared_frames": n if table else None}
+    truth["declared_bytes"] = None if not table else declared if table == 2 or seek else None
+    truth["seek_table"] = None if not table or (table == 1 and not seek) else [x * declared // 256 for x in seek] if table == 1 else list(itertools.accumulate(x * 4 for x in seek))
     return bytes(out), truth
 
 

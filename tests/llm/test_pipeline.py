@@ -1,8 +1,9 @@
 import collections
 
 import corpus_pipeline
-from millrace.llm import near, tokens
+from millrace.llm import near, queries, tokens
 from tests.llm import cases
+from tests.llm.test_near import roots, truth
 
 
 def test_stages_in_order(spark, medium):
@@ -19,12 +20,18 @@ def test_stages_in_order(spark, medium):
             assert out.columns == docs.columns and ids <= had
         if name == "toxicity":
             toxic = {i for i, t in labels.items() if t == 1}
+            assert had - ids == {r.doc_id for r in queries.op9_toxicity(spark, medium).collect()}
             assert len(ids & toxic) <= 0.35 * len(toxic) and len({i for i, t in labels.items() if t == 0} - ids) <= 6
         if name == "near_duplicates":
             assert ids == had - {r.doc_id for r in near.near_duplicates(docs).collect()} and len(rows) == len(ids)
+            sets, alike = truth([(r.doc_id, r.text) for r in before])
+            root = roots(sets, [p for p, j in alike.items() if j >= near.THRESHOLD])
+            least = {i for i, r in root.items() if i == r}  # the first of each group, by all pairs
+            assert least <= ids and len(ids - least) <= 0.01 * len(had - least)
         if name == "decontamination":
-            leaked = {r.doc_id for r in before if any(b in " ".join(cases.words(r.text)) for b in bench)}
-            assert leaked and not ids & leaked
+            spans = lambda t: {tuple(w[i : i + 13]) for w in [cases.words(t)] for i in range(len(w) - 12)}
+            known = {s for b in bench for s in spans(b)}
+            assert had - ids == {r.doc_id for r in before if spans(r.text) & known} != set()
         if name == "mixing":
             per, now = collections.Counter(r.source for r in before), collections.Counter(r.source for r in rows)
             mass = sum(n**0.7 for n in per.values())

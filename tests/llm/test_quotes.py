@@ -1,4 +1,7 @@
-from millrace.llm import quotes
+import collections
+import random
+
+from millrace.llm import queries, quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -54,3 +57,65 @@ def test_odd_rows(spark):
     assert [r.parent_turn for r in got if r.turn == 1 and r.conv_id == 1] == [None] and [r.n_linked for r in got if r.turn == 1 and r.conv_id == 1] == [1]
     assert all(r.position == 0 for r in got if r.conv_id is None)
     assert quotes.linked(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def by_hand(rows):
+    """Links and order of messages (conv_id, turn, role, text), each compared with every other one."""
+    parsed = []
+    for c, t, role, text in sorted(set(rows)):
+        found = quotes.passages(text)
+        parsed.append((c, t, role, text, {h for d, p in found if d == 0 for h in quotes.paragraph_hashes(p)}, [(d, h) for d, p in found if d for h in quotes.paragraph_hashes(p)], "\n\n".join(p for d, p in found if d == 0)))
+    out = {}
+    for i, (c, t, _, _, _, asked, body) in enumerate(parsed):
+        count, linked = collections.Counter(), 0
+        for depth, h in asked:
+            near = [j for j, m in enumerate(parsed) if m[0] == c and m[1] < t and h in m[4]]
+            far = [j for j, m in enumerate(parsed) if m[0] != c and h in m[4]]
+            j = max(near, key=lambda j: parsed[j][1]) if near else min(far, key=lambda j: parsed[j][:2]) if far else None
+            if j is not None:
+                linked += 1
+                count[j] += depth == 1
+        best = max(((n, parsed[j][1], parsed[j][0], j) for j, n in count.items() if n), default=None)
+        out[i] = (c, t, body, best and parsed[best[3]][:2], len(asked), linked)
+    order = {}
+    for conv in {m[0] for m in parsed}:
+        own = [i for i in out if out[i][0] == conv]
+        place = {out[i][1]: i for i in own}
+
+        def visit(i, depth):
+            order[i] = (sum(out[k][0] == conv for k in order), depth)
+            for k in own:
+                if out[k][3] == (conv, out[i][1]) and out[k][1] > out[i][1]:
+                    visit(k, depth + 1)
+
+        for i in own:
+            p = out[i][3]
+            if p is None or p[0] != conv or p[1] not in place:
+                visit(i, 0)
+    return {(c, t): (*order[i], body, parent, n, linked) for i, (c, t, body, parent, n, linked) in out.items()}
+
+
+def test_query_equals_linking_by_hand(spark, small):
+    mail = [tuple(r) for r in quotes.as_mail(spark.read.parquet(f"{small}/conversations.parquet")).select("conv_id", "turn", "role", "text").collect()]
+    want = by_hand(mail)
+    got = queries.op4_quotation_linking(spark, small).collect()
+    assert len(got) == len(want)
+    for r in got:
+        parent = None if r.parent_turn is None else (r.parent_conv_id, r.parent_turn)
+        assert (r.position, r.depth, r.text, parent, r.n_quotes, r.n_linked) == want[r.conv_id, r.turn]
+
+
+def test_random_threads_equal_linking_by_hand(spark):
+    rnd = random.Random(3)
+    rows, said = [], []
+    for c in range(12):
+        for t in range(rnd.randrange(1, 9)):
+            own = " ".join(rnd.choice("alpha beta gamma delta".split()) for _ in range(rnd.randrange(1, 4)))
+            quoted = [rnd.choice(said) for _ in range(rnd.randrange(3))] if said else []
+            text = "\n\n".join(["> " + q if rnd.random() < 0.7 else ">> " + q for q in quoted] + [own])
+            rows.append((c, t, "user", text))
+            said.append(own if rnd.random() < 0.9 else "never said")
+    want = by_hand(rows)
+    for r in quotes.linked(spark.createDataFrame(rows, SCHEMA)).collect():
+        parent = None if r.parent_turn is None else (r.parent_conv_id, r.parent_turn)
+        assert (r.position, r.depth, r.text, r.n_quotes, r.n_linked) == (want[r.conv_id, r.turn][0:3] + want[r.conv_id, r.turn][4:]) and parent == want[r.conv_id, r.turn][3]
