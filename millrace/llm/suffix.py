@@ -5,7 +5,9 @@ and inserts the suffixes that begin there, all at once, into the Burrows-Wheeler
 collection and its array of common prefixes. A new suffix's slot follows from the slot of the suffix
 one word shorter: within the suffixes with the same first word the order is that of the rest. The
 arrays of a round are read from the file of the round before and written to the next one, front to
-back; between rounds only one slot for each sequence is kept.
+back, a block at a time: first the keys, which say where the new suffixes go, then the common prefixes,
+whose minima between two slots are those of the suffixes one word longer, then all of it, merged with
+what is new. In memory are a block and a few numbers for each sequence, however long they are.
 
 Long documents would need as many rounds as words. They enter as the segments around anchors that
 another document has as well (see anchors), whose lengths are bounded by twice the threshold. Since
@@ -25,6 +27,8 @@ from millrace.llm.anchors import HOT_SEGMENTS, MIN_WORDS, by_anchor, lots, share
 from millrace.llm.repeats import joined
 from millrace.llm.shared import scratch_root
 
+#: Suffixes of a block of the files.
+BLOCK = 1 << 17
 _PSI = np.int64((1 << 32) - 1)
 _BLOCK = 64
 #: What a file holds for each suffix: first word and the slot of the rest, common prefix with the
@@ -33,24 +37,42 @@ _COLUMNS = (("key", np.int64), ("lcp", np.int16), ("bwt", np.int32), ("ident", n
 
 
 class _Files:
-    """The two files of a lot, that of the last round and that of the next, in the shared folder."""
+    """The two files of a lot, that of the last round and that of the next, in the shared folder. Each is a
+    row of blocks, and a block has its columns one after another."""
 
-    def __init__(self, root: str) -> None:
+    def __init__(self, root: str, block: int = BLOCK) -> None:
         self.fs, path = fs.FileSystem.from_uri(root.replace("s3a://", "s3://"))
         self.dir = f"{path.rstrip('/')}/millrace-suffixes/{uuid.uuid4().hex}"
         self.fs.create_dir(self.dir)
-        self.turn, self.rows = 0, 0
-
-    def write(self, *arrays: np.ndarray) -> None:
+        self.turn, self.sizes, self.block = 0, [], block
+
+    def write(self, tables) -> None:
+        """The next file, of tables of any size."""
+        sizes = []
+        with self.fs.open_output_stream(f"{self.dir}/{self.turn ^ 1}") as out:
+            for table in tables:
+                for at in range(0, len(table[0]), self.block):
+                    part = [np.ascontiguousarray(c[at : at + self.block]) for c in table]
+                    sizes.append(len(part[0]))
+                    for c in part:
+                        out.write(memoryview(c).cast("B"))
         self.turn ^= 1
-        with self.fs.open_output_stream(f"{self.dir}/{self.turn}") as out:
-            for a in arrays:
-                out.write(memoryview(np.ascontiguousarray(a)).cast("B"))
-        self.rows = len(arrays[0])
-
-    def read(self) -> list[np.ndarray]:
-        with self.fs.open_input_stream(f"{self.dir}/{self.turn}") as data:
-            return [np.frombuffer(data.read(self.rows * np.dtype(kind).itemsize), kind) for _, kind in _COLUMNS]
+        self.sizes = sizes
+
+    def read(self, *columns: int):
+        """(first slot, columns) of the blocks of the last file, from the first to the last."""
+        with self.fs.open_input_file(f"{self.dir}/{self.turn}") as data:
+            at = slot = 0
+            for n in self.sizes:
+                out = []
+                for i, (_, kind) in enumerate(_COLUMNS):
+                    size = n * np.dtype(kind).itemsize
+                    if i in columns:
+                        data.seek(at)
+                        out.append(np.frombuffer(data.read(size), kind))
+                    at += size
+                yield slot, out
+                slot += n
 
     def close(self) -> None:
         self.fs.delete_dir(self.dir)
@@ -93,13 +115,37 @@ class _Minima:
         return out
 
 
-def _prefix(keys: np.ndarray, before: np.ndarray, at: np.ndarray, minima: _Minima) -> np.ndarray:
-    """Common prefix of the suffixes at `at` with those at `before`, by their keys."""
-    out = np.zeros(len(at), np.int16)
-    k, b = keys[at], keys[before]
-    alike = np.flatnonzero(((k >> 32) == (b >> 32)) & ((k >> 32) > 0))
-    if len(alike):
-        out[alike] = 1 + minima.of((b[alike] & _PSI) + 1, k[alike] & _PSI)
+def _places(files: _Files, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For keys in order: before which slot each goes, and the keys of the slots before and there (-1 if none)."""
+    at, before, after = (np.full(len(fresh), -1, np.int64) for _ in range(3))
+    done, last, n = 0, -1, 0
+    for slot, (key,) in files.read(0):
+        to = int(np.searchsorted(fresh, key[-1], "right"))
+        if to > done:
+            own = np.searchsorted(key, fresh[done:to])
+            at[done:to] = slot + own
+            before[done:to] = np.where(own > 0, key[np.maximum(own - 1, 0)], last)
+            after[done:to] = key[own]
+        done, last, n = to, key[-1], slot + len(key)
+    at[done:], before[done:] = n, last
+    return at, before, after
+
+
+def _prefixes(files: _Files, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common prefixes of pairs of suffixes with the keys a and b, a before b. With the same first word it
+    is one more than that of their rests, the least of the common prefixes between these."""
+    out = np.zeros(len(a), np.int16)
+    alike = np.flatnonzero((a >> 32 == b >> 32) & (a >> 32 > 0) & (a >= 0))
+    if not len(alike):
+        return out
+    lo, hi = (a[alike] & _PSI) + 1, b[alike] & _PSI
+    least = np.full(len(alike), np.iinfo(np.int16).max, np.int16)
+    for slot, (lcp,) in files.read(1):
+        own = np.flatnonzero((lo < slot + len(lcp)) & (hi >= slot))
+        if len(own):
+            x, y = np.maximum(lo[own] - slot, 0), np.minimum(hi[own] - slot, len(lcp) - 1)
+            least[own] = np.minimum(least[own], _Minima(lcp).of(x, y))
+    out[alike] = 1 + least
     return out
 
 
@@ -109,46 +155,50 @@ def build(symbols: np.ndarray, ptr: np.ndarray, files: _Files) -> tuple[np.ndarr
     n = np.diff(ptr)
     m = len(n)
     end = ptr[1:]
-    files.write(np.arange(m), np.zeros(m, np.int16), symbols[end - 1].astype(np.int32), np.arange(m) << 32)
+    files.write([(np.arange(m), np.zeros(m, np.int16), symbols[end - 1].astype(np.int32), np.arange(m) << 32)])
     slot = np.arange(m)
     for j in range(1, int(n.max(initial=0)) + 1):
         live = np.flatnonzero(n >= j)
-        key, lcp, bwt, ident = files.read()
         fresh = (symbols[end[live] - j].astype(np.int64) << 32) | slot[live]
         order = np.argsort(fresh)
         live, fresh = live[order], fresh[order]
-        to = np.searchsorted(key, fresh) + np.arange(len(live))
-        new = np.zeros(len(key) + len(live), bool)
-        new[to] = True
-        old = np.flatnonzero(~new)
-
-        def merge(x, y):
-            out = np.empty(len(new), x.dtype)
-            out[old], out[to] = x, y
-            return out
-
-        keys, minima = merge(key, fresh), _Minima(lcp)
-        lcps = merge(lcp, 0)
-        lcps[to] = _prefix(keys, to - 1, to, minima)
-        after = to[to + 1 < len(new)] + 1
-        after = after[~new[after]]
-        lcps[after] = _prefix(keys, after - 1, after, minima)
-        keys[m:] = (keys[m:] & ~_PSI) | old[keys[m:] & _PSI]
-        before = np.where(n[live] > j, symbols[np.maximum(end[live] - j - 1, 0)], 0)
-        files.write(keys, lcps, merge(bwt, before), merge(ident, (live << 32) | j))
-        slot[live] = to
-    _, lcp, bwt, ident = files.read()
-    return lcp, ident >> 32, ident & _PSI, bwt
-
-
-def repeated(lot: pa.Table, least: int, root: str) -> tuple[np.ndarray, ...]:
+        at, before, after = _places(files, fresh)
+        follows = np.concatenate([[False], at[1:] == at[:-1]])  # the suffix before is new as well
+        before[follows] = fresh[:-1][follows[1:]]
+        last = np.flatnonzero(np.append(~follows[1:], True) & (after >= 0))  # an old one comes next
+        common = _prefixes(files, np.concatenate([before, fresh[last]]), np.concatenate([fresh, after[last]]))
+        mine, theirs = common[: len(live)], common[len(live) :]
+        moved = lambda key: key + np.searchsorted(at, key & _PSI, "right")
+        symbol = np.where(n[live] > j, symbols[np.maximum(end[live] - j - 1, 0)], 0).astype(np.int32)
+        new = (moved(fresh), mine, symbol, (live << 32) | j)
+
+        def merged():
+            done = 0
+            for first, (key, lcp, bwt, ident) in files.read(0, 1, 2, 3):
+                stop = first + len(key)
+                to = len(at) if stop == total else int(np.searchsorted(at, stop, "left"))
+                lcp = lcp.copy()
+                own = last[np.searchsorted(at[last], first) : np.searchsorted(at[last], stop)]
+                lcp[at[own] - first] = theirs[np.searchsorted(last, own)]
+                places = at[done:to] - first
+                yield tuple(np.insert(old, places, x[done:to]) for old, x in zip((moved(key), lcp, bwt, ident), new))
+                done = to
+
+        total = sum(files.sizes)
+        files.write(merged())
+        slot[live] = at + np.arange(len(live))
+    columns = [np.concatenate(c) for c in zip(*(c for _, c in files.read(1, 2, 3)))]
+    return columns[0], columns[2] >> 32, columns[2] & _PSI, columns[1]
+
+
+def repeated(lot: pa.Table, least: int, root: str, block: int = BLOCK) -> tuple[np.ndarray, ...]:
     """(key, start, stop): runs of windows of `least` words that another document of the lot has."""
     body = np.frombuffer(b"".join(lot.column("words").to_pylist()), np.int32)
     key, first, last = (lot.column(c).to_numpy() for c in ("key", "first", "last"))
     size = last - first + least
     ptr = np.concatenate([[0], np.cumsum(size)])
     symbols = np.unique(body, return_inverse=True)[1] + 1
-    files = _Files(root)
+    files = _Files(root, block)
     try:
         lcp, seq, length, _ = build(symbols, ptr, files)
     finally:

@@ -127,7 +127,7 @@ def test_suffix_order_and_common_prefixes(tmp_path):
         seqs = [rng.integers(1, rng.integers(2, 6), rng.integers(1, 40)) for _ in range(rng.integers(1, 12))]
         seqs += seqs[: trial % 3]
         ptr = np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
-        files = suffix._Files(f"file://{tmp_path}")
+        files = suffix._Files(f"file://{tmp_path}", (1, 3, 7, 50, 1 << 17)[trial % 5])
         lcp, seq, length, bwt = suffix.build(np.concatenate(seqs), ptr, files)
         files.close()
         every = sorted((tuple((int(x), -1) for x in s[k:]) + ((0, i),), i, len(s) - k) for i, s in enumerate(seqs) for k in range(len(s) + 1))
