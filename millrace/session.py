@@ -15,7 +15,7 @@ VARIANT = ("spark.sql.variant.allowDuplicateKeys", "true")
 
 def session(name: str = "millrace", **conf: str) -> SparkSession:
     """A session with what the operators rely on; sizes and the master stay the cluster's business."""
-    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config(*VARIANT)
+    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").config(*VARIANT)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()

@@ -65,9 +65,6 @@ class Input:
         fine = ~is_blank(F.col("value")) & is_object(strict_json(F.col("value")))
         return self._numbered(self.raw.where(fine).withColumn("_id", F.monotonically_increasing_id()), "object")
 
-    def blank(self) -> DataFrame:
-        return self._lines().where(is_blank(F.col("value")))
-
     def _lines(self) -> DataFrame:
         return self._numbered(self.raw.withColumn("_id", F.col("id")), "lines").drop("ordinal")
 
@@ -77,12 +74,6 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return Input(spark, path)._lines()
 
 
-def split_blank(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows with text, and the blank ones."""
-    blank = is_blank(F.col("value"))
-    return rows.where(~blank), rows.where(blank)
-
-
 def load_rules(path: str | Path) -> list[Rule]:
     return rules_of(load_json(path))
 

@@ -44,8 +44,8 @@ def test_line_numbers_across_files_and_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(got) == 2003
     assert all(r.value in ("", f"{'ab'['b.jsonl' in r.path]}{r.line}") for r in got)
-    text, blank = sources.split_blank(sources.lines(spark, str(tmp_path)))
-    assert (text.count(), blank.count()) == (2002, 1)
+    source = sources.Input(spark, str(tmp_path))
+    assert source.counts == {"lines": 2003, "text": 2002, "blank": 1} and source.text().count() == 2002
 
 
 def test_clean_routes_reports_and_refuses_to_overwrite(spark, corpus, tmp_path):
@@ -211,7 +211,32 @@ def test_stream_cleans_what_arrives(spark, tmp_path):
     assert len(got) == sum(r == "clean" for _, r, *_ in registry.CASES[:8]) and {r.route for r in got} == {"clean"}
 
 
-def test_the_text_is_not_shuffled_and_is_read_three_times(spark, corpus, tmp_path, monkeypatch):
+def scanned(spark) -> int:
+    """Rows that scans of text have given so far."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    every = store.executionsList()
+    for i in range(every.size()):
+        at = every.apply(i).executionId()
+        nodes, values = store.planGraph(at).allNodes(), store.executionMetrics(at)
+        for k in range(nodes.size()):
+            if nodes.apply(k).name().startswith("Scan text"):
+                metrics = nodes.apply(k).metrics()
+                for m in range(metrics.size()):
+                    if metrics.apply(m).name() == "number of output rows":
+                        got = values.get(metrics.apply(m).accumulatorId())
+                        total += int(got.get().replace(",", "")) if got.isDefined() else 0
+    return total
+
+
+def test_a_run_reads_its_input_three_times(spark, tmp_path):
+    path = tmp_path / "many.jsonl"
+    path.write_text("\n".join([LINES[i % len(LINES)] for i in range(300)] + ["", "{"]) + "\n", encoding="utf-8")
+    before = scanned(spark)
+    recipes.run(spark, str(path), str(tmp_path / "out"), sample_size=10, target_count=5)
+    assert 2 * 302 <= scanned(spark) - before <= 3 * 302
+
+
+def test_the_text_is_not_shuffled(spark, corpus, tmp_path, monkeypatch):
     text = sources.Input(spark, str(corpus)).text()
     plan = text._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan.split("Scan text")[-1]
