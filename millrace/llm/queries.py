@@ -71,6 +71,18 @@ ORACLES = {
         s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM n)
         SELECT doc_id, min(i) - 1 AS start_word, max(i) + 49 AS end_word, max(i) - min(i) + 50 AS n_words
         FROM s GROUP BY doc_id, island""",
+    "op10_seed_and_extend": rf"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+        g AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM p),
+        c AS (SELECT h, min({{'d': doc_id, 'i': i}}) AS hub, max({{'d': doc_id, 'i': i}}) AS far FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+        l AS (SELECT doc_id, i, CASE WHEN hub.d <> doc_id THEN hub.d ELSE far.d END AS t, CASE WHEN hub.d <> doc_id THEN hub.i ELSE far.i END - i AS diagonal FROM g JOIN c USING (h)),
+        k AS (SELECT DISTINCT doc_id, t, diagonal FROM l),
+        e AS (SELECT k.doc_id, k.t, k.diagonal, a.i, l.i IS NOT NULL AS linked FROM k JOIN g a ON a.doc_id = k.doc_id JOIN g b ON b.doc_id = k.t AND b.i = a.i + k.diagonal AND b.h = a.h
+            LEFT JOIN l ON l.doc_id = k.doc_id AND l.t = k.t AND l.diagonal = k.diagonal AND l.i = a.i),
+        s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, t, diagonal ORDER BY i) AS island FROM e)
+        SELECT doc_id, min(i) - 1 AS start_word, count(*) + 49 AS n_words, t AS match_doc_id, min(i) + diagonal - 1 AS match_start
+        FROM s GROUP BY doc_id, t, diagonal, island HAVING bool_or(linked)""",
     "op8_decontamination": rf"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         b AS (SELECT item_id, {_WORDS} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),

@@ -185,3 +185,12 @@ def test_other_scripts_equal_the_sql(spark, tmp_path):
     names = "doc_id, start_word, end_word, n_words"
     want = set(con.sql(f"SELECT {names} FROM ({queries.ORACLES['op3_suffix_array']})").fetchall())
     assert {tuple(r) for r in suffix.repeated_spans(docs).select(*names.split(", ")).collect()} == want and {r[0] for r in want} == {1, 2, 4}
+
+
+@pytest.mark.parametrize("name", ["op3_suffix_array", "op10_seed_and_extend"])
+def test_queries_equal_their_sql(spark, small, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    rows = queries.QUERIES[name](spark, small)
+    names = sorted(rows.columns)
+    assert {tuple(r) for r in rows.select(*names).collect()} == set(con.sql(f"SELECT {', '.join(names)} FROM ({queries.ORACLES[name]})").fetchall())
