@@ -18,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from millrace.llm.graph import components
@@ -105,12 +106,14 @@ def _signed(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(sign, "key long, hash long, node long, bands array<long>, shingles binary")
 
 
-def jaccard(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Of sets that signatures() has given, pair by pair."""
+def jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Of sets that signatures() has given, as binary arrays, pair by pair."""
 
     def keyed(sets):
-        size = np.array([len(s) // 4 for s in sets], np.int64)
-        return size, (np.repeat(np.arange(len(sets), dtype=_U), size) << _U(32)) | np.frombuffer(b"".join(sets), np.uint32)
+        size = pc.binary_length(sets).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        first = np.frombuffer(sets.buffers()[1], np.int32)[sets.offset] // 4 if len(sets) else 0
+        flat = np.frombuffer(sets.buffers()[2] or b"", np.uint32)[first : first + size.sum()]
+        return size, (np.repeat(np.arange(len(sets), dtype=_U), size) << _U(32)) | flat
 
     (n, x), (m, y) = keyed(a), keyed(b)
     if not len(x) or not len(y):
@@ -120,16 +123,19 @@ def jaccard(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return both / np.maximum(n + m - both, 1)
 
 
+#: Shingles that are compared at once, in bytes; a longer pair is taken whole.
+COMPARED_BYTES = 4 << 20
+
+
 def _alike(pairs: DataFrame, threshold: float) -> DataFrame:
     def verify(batches):
         for batch in batches:
             at = 0
-            size = np.cumsum([len(x) + len(y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())])
+            size = np.cumsum(sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in "xy"))
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (16 << 20), "right")))
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + COMPARED_BYTES, "right")))
                 part = batch.slice(at, to - at)
-                alike = jaccard(part.column("x").to_pylist(), part.column("y").to_pylist()) >= threshold
-                yield part.select(["u", "v"]).filter(pa.array(alike))
+                yield part.select(["u", "v"]).filter(pa.array(jaccard(part.column("x"), part.column("y")) >= threshold))
                 at = to
 
     return pairs.mapInArrow(verify, "u long, v long")

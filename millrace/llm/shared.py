@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Text that one call of a numpy kernel takes on; a longer document is taken whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: A list of at most so many rows may be broadcast.
 BROADCAST_ROWS = 1_000_000
 

@@ -11,6 +11,7 @@ in, the machine learns its few labelled rows by heart.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,6 +112,10 @@ def terms(texts: pa.Array, bits: int = BITS, among: np.ndarray | None = None, ne
     return (key & np.uint64((1 << bits) - 1)).astype(np.int32), ptr
 
 
+def _sign(terms: np.ndarray) -> bytes:
+    return hashlib.blake2b(terms.tobytes(), digest_size=16).digest()
+
+
 def evidence(rows: list[np.ndarray], labels: np.ndarray, bits: int, prior: float = 10.0) -> np.ndarray:
     """Z scores of the smoothed log odds of each term between the classes; 0 for unseen terms."""
     df = [_held(rows, labels, y, bits) for y in (0, 1)]
@@ -157,7 +162,7 @@ def interacting(rows: list[np.ndarray], labels: np.ndarray, bits: int, least: fl
     base = odds(labels.sum(), len(labels) - labels.sum())
     alone = (odds(one[1], one[0]) - base).astype(np.float32)
     out = np.zeros(len(common), bool)
-    step = 512
+    step = 256
     for at in range(0, len(common), step):  # some terms at a time with those that follow
         to = min(at + step, len(common))
         n0, n1 = (_together(own[y], len(common), at, to) for y in (0, 1))
@@ -181,7 +186,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
     labels = np.asarray(labels, np.float64)
     rng = np.random.default_rng(seed)
     if len(rows):  # copies of one document are one piece of evidence
-        kept = list({r.tobytes() + bytes([int(y)]): i for i, (r, y) in enumerate(zip(rows, labels))}.values())
+        kept = list({(_sign(r), y): i for i, (r, y) in enumerate(zip(rows, labels))}.values())
         rows, labels = [rows[i] for i in kept], labels[kept]
     positive = labels.sum()
     if not 0 < positive < len(labels):
@@ -247,9 +252,12 @@ def sampled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(featurise, "doc_id long, toxic int, terms binary").toArrow()
-    found = sorted(zip(got.column("doc_id").to_pylist(), got.column("terms").to_pylist(), got.column("toxic").to_pylist()))
+    ids, toxic, held = got.column("doc_id").to_numpy(), got.column("toxic").to_numpy(), got.column("terms").combine_chunks()
     del got
-    return [np.frombuffer(t, np.int32) for _, t, _ in found], np.array([y for *_, y in found], np.float64)
+    flat, ptr = np.frombuffer(held.buffers()[2] or b"", np.int32), np.frombuffer(held.buffers()[1], np.int32)[held.offset :] // 4
+    rows_ = [flat[ptr[i] : ptr[i + 1]] for i in range(len(ids))]  # views of one buffer
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], toxic[i], _sign(rows_[i])))
+    return [rows_[i] for i in order], toxic[order].astype(np.float64)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:

@@ -93,7 +93,7 @@ def test_every_bin_is_filled():
     empty = m == near._EMPTY
     assert empty[2].all() and empty[3].all() and not empty[[0, 1, 4, 5]].any()
     assert [len(s) // 4 for s in short] == [1, 1, 0, 0, 1, 3] and len(set(node.tolist())) == 5
-    assert near.jaccard([short[5], short[0], b""], [short[5], short[1], short[1]]).tolist() == [1, 0, 0]
+    assert near.jaccard(pa.array([b"", short[5], short[0], b""])[1:], pa.array([short[5], short[1], short[1]])).tolist() == [1, 0, 0]
 
 
 def test_components_of_long_and_branching_graphs(spark):
