@@ -14,10 +14,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from millrace.llm.anchors import lots
 from millrace.llm.shared import written
 
 _MARKS = re.compile(r"[ \t]*(?:>[ \t]?)+")
 _INTRO = re.compile(r"(?is)^.{0,200}\b(?:wrote|writes|said|écrit|schrieb|escribió)\s*:\s*$")
+#: Messages that are put in order at once; a longer conversation is taken whole.
+LOT_MESSAGES = 10_000
 _NO_WORD = re.compile(r"[\W_]+")
 
 
@@ -68,44 +71,38 @@ def _parse(batches):
         )
 
 
+_OUT = ["conv_id", "position", "depth", "turn", "role", "text", "parent_conv_id", "parent_turn", "n_quotes", "n_linked"]
+
+
 def _ordered(batches):
-    """Position and depth of the messages of each conversation; rows come sorted by conversation."""
-    names = ["conv_id", "position", "depth", "turn", "role", "text", "parent_conv_id", "parent_turn", "n_quotes", "n_linked"]
-    held: list[dict] = []
-
-    def thread(rows):
-        first = {}
-        for i, r in enumerate(rows):
-            first.setdefault(r["id"], i)
-        children: dict[int, list[int]] = {}
-        for i, r in enumerate(rows):
-            p = first.get(r["parent"]) if r["parent_conv"] is not None and r["parent_conv"] == r["conv_id"] else None
-            children.setdefault(-1 if p is None or p >= i else p, []).append(i)
-        out, stack = [], [(i, 0) for i in reversed(children.get(-1, []))]
-        while stack:
-            i, depth = stack.pop()
-            r = rows[i]
-            out.append((r["conv_id"], len(out), depth, r["turn"], r["role"], r["body"], r["parent_conv"], r["parent_turn"], r["n_quotes"], r["n_linked"] or 0))
-            stack += [(c, depth + 1) for c in reversed(children.get(i, []))]
-        return out
-
-    def batch(rows):
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-    done: list[tuple] = []
-    for b in batches:
-        for r in b.to_pylist():
-            if held and (held[-1]["conv_id"] is None or r["conv_id"] != held[-1]["conv_id"]):
-                done += thread(held)
-                held = []
-            held.append(r)
-        if len(done) > 5000:
-            yield batch(done)
-            done = []
-    done += thread(held)
-    if done:
-        yield batch(done)
+    """Position and depth of the messages of each conversation; rows come sorted by conversation. Only
+    ids are looked at one by one; all else is taken in the order that they give."""
+    for table in lots(batches, LOT_MESSAGES, "thread", None):
+        conv, ids = table.column("conv_id").to_pylist(), table.column("id").to_pylist()
+        parents = [p if c is not None and c == own else None for p, c, own in zip(table.column("parent").to_pylist(), table.column("parent_conv").to_pylist(), conv)]
+        order, position, depths, n = [], [], [], len(ids)
+        at = 0
+        while at < n:
+            to = at + 1
+            while conv[at] is not None and to < n and conv[to] == conv[at]:
+                to += 1
+            first, children = {}, {}
+            for i in range(at, to):
+                first.setdefault(ids[i], i)
+            for i in range(at, to):
+                p = first.get(parents[i]) if parents[i] is not None else None
+                children.setdefault(-1 if p is None or p >= i else p, []).append(i)
+            stack = [(i, 0) for i in reversed(children.get(-1, []))]
+            while stack:
+                i, depth = stack.pop()
+                position.append(len(order) - at)
+                order.append(i)
+                depths.append(depth)
+                stack += [(c, depth + 1) for c in reversed(children.get(i, []))]
+            at = to
+        got = table.take(pa.array(order, pa.int64()))
+        columns = {"position": pa.array(position, pa.int32()), "depth": pa.array(depths, pa.int32()), "text": got.column("body"), "parent_conv_id": got.column("parent_conv"), "n_linked": got.column("n_linked").fill_null(0)}
+        yield from pa.table([columns[c] if c in columns else got.column(c) for c in _OUT], names=_OUT).combine_chunks().to_batches()
 
 
 def linked(messages: DataFrame) -> DataFrame:
@@ -141,7 +138,7 @@ def linked(messages: DataFrame) -> DataFrame:
     mine = F.struct("direct", "original.turn", "original.conv_id", "original.id")
     parents = per.groupBy(F.col("place.id").alias("id")).agg(F.sum("n").cast("int").alias("n_linked"), F.max(F.when(F.col("direct") > 0, mine)).alias("best"))
     whole = parsed.drop("own", "quoted").join(parents, "id", "left").select("*", F.col("best.id").alias("parent"), F.col("best.conv_id").alias("parent_conv"), F.col("best.turn").alias("parent_turn")).drop("best")
-    order = whole.repartition(F.coalesce("conv_id", "id")).sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "body", "id")
+    order = whole.withColumn("thread", F.coalesce("conv_id", "id")).repartition("thread").sortWithinPartitions("thread", "conv_id", F.asc_nulls_first("turn"), "role", "body", "id")
     return order.mapInArrow(_ordered, "conv_id long, position int, depth int, turn long, role string, text string, parent_conv_id long, parent_turn long, n_quotes int, n_linked int")
 
 
