@@ -1,13 +1,16 @@
 """Substring duplicates by a suffix array that is built column by column.
 
 The collection is a lot of word sequences. Round j takes the j-th word from the end of every sequence
-and inserts the suffixes that begin there, all at once, into the Burrows-Wheeler transform of the
-collection and its array of common prefixes. A new suffix's slot follows from the slot of the suffix
-one word shorter: within the suffixes with the same first word the order is that of the rest. The
-arrays of a round are read from the file of the round before and written to the next one, front to
-back, a block at a time: first the keys, which say where the new suffixes go, then the common prefixes,
-whose minima between two slots are those of the suffixes one word longer, then all of it, merged with
-what is new. In memory are a block and a few numbers for each sequence, however long they are.
+and inserts the suffixes that begin there, all at once, into the suffix array of the collection and its
+array of common prefixes. A new suffix's slot follows from the slot of the suffix one word shorter:
+within the suffixes with the same first word the order is that of the rest. The arrays of a round are
+read from the file of the round before and written to the next one, front to back, a block at a time:
+first the keys, which say where the new suffixes go, then the common prefixes, whose minima between two
+slots are those of the suffixes one word longer, then both, merged with what is new. In memory are the
+first HELD bytes of both files, a block, a table of bounded size and a few numbers for each sequence,
+however long they are; the rest of the files is in the shared folder. The keys lead from each suffix to
+the one a word shorter, so that which suffix is where, and with it the Burrows-Wheeler transform, is
+read off at the end.
 
 Long documents would need as many rounds as words. They enter as the segments around anchors that
 another document has as well (see anchors), whose lengths are bounded by twice the threshold. Since
@@ -27,93 +30,122 @@ from millrace.llm.anchors import HOT_SEGMENTS, MIN_WORDS, by_anchor, lots, share
 from millrace.llm.repeats import joined
 from millrace.llm.shared import scratch_root
 
-#: Suffixes of a block of the files.
+#: Suffixes of a block of the files, which may have up to twice as many.
 BLOCK = 1 << 17
+#: Bytes of a file that stay in memory.
+HELD = 1 << 25
+#: Entries of the table that says how far slots move in a round.
+TABLE = 1 << 21
 _PSI = np.int64((1 << 32) - 1)
-_BLOCK = 64
-#: What a file holds for each suffix: first word and the slot of the rest, common prefix with the
-#: suffix before, the word before it (the transform), and sequence and length.
-_COLUMNS = (("key", np.int64), ("lcp", np.int16), ("bwt", np.int32), ("ident", np.int64))
+#: What a file holds for each suffix: first word and the slot of the rest, and the common prefix with
+#: the suffix before.
+_COLUMNS = (("key", np.int64), ("lcp", np.int16))
 
 
 class _Files:
-    """The two files of a lot, that of the last round and that of the next, in the shared folder. Each is a
-    row of blocks, and a block has its columns one after another."""
+    """The two files of a lot, that of the last round and that of the next. Each is a row of blocks, and a
+    block has its columns one after another. Blocks beyond the first `held` bytes are in the shared folder."""
 
-    def __init__(self, root: str, block: int = BLOCK) -> None:
+    def __init__(self, root: str, block: int = BLOCK, held: int = 0) -> None:
         self.fs, path = fs.FileSystem.from_uri(root.replace("s3a://", "s3://"))
         self.dir = f"{path.rstrip('/')}/millrace-suffixes/{uuid.uuid4().hex}"
-        self.fs.create_dir(self.dir)
-        self.turn, self.sizes, self.block = 0, [], block
+        self.turn, self.blocks, self.block, self.held, self.made = 0, [], block, held, False
+
+    @property
+    def total(self) -> int:
+        return sum(n for n, _ in self.blocks)
 
     def write(self, tables) -> None:
         """The next file, of tables of any size."""
-        sizes = []
-        with self.fs.open_output_stream(f"{self.dir}/{self.turn ^ 1}") as out:
+        blocks, room, out = [], self.held, None
+        try:
             for table in tables:
-                for at in range(0, len(table[0]), self.block):
-                    part = [np.ascontiguousarray(c[at : at + self.block]) for c in table]
-                    sizes.append(len(part[0]))
+                n = len(table[0])
+                parts = max(1, n // self.block)
+                edges = [n * i // parts for i in range(parts + 1)]
+                for a, b in zip(edges, edges[1:]):
+                    if a == b:
+                        continue
+                    part = [np.ascontiguousarray(c[a:b]) for c in table]
+                    room -= sum(c.nbytes for c in part)
+                    if room >= 0:
+                        blocks.append((b - a, part))
+                        continue
+                    out = out or self._opened()
                     for c in part:
                         out.write(memoryview(c).cast("B"))
+                    blocks.append((b - a, None))
+        finally:
+            if out:
+                out.close()
         self.turn ^= 1
-        self.sizes = sizes
+        self.blocks = blocks
+
+    def _opened(self):
+        if not self.made:
+            self.fs.create_dir(self.dir)
+            self.made = True
+        return self.fs.open_output_stream(f"{self.dir}/{self.turn ^ 1}")
 
     def read(self, *columns: int):
         """(first slot, columns) of the blocks of the last file, from the first to the last."""
-        with self.fs.open_input_file(f"{self.dir}/{self.turn}") as data:
-            at = slot = 0
-            for n in self.sizes:
-                out = []
-                for i, (_, kind) in enumerate(_COLUMNS):
-                    size = n * np.dtype(kind).itemsize
-                    if i in columns:
-                        data.seek(at)
-                        out.append(np.frombuffer(data.read(size), kind))
-                    at += size
-                yield slot, out
+        at = slot = 0
+        data = None
+        try:
+            for n, part in self.blocks:
+                if part is None:
+                    data = data or self.fs.open_input_file(f"{self.dir}/{self.turn}")
+                    out = []
+                    for i, (_, kind) in enumerate(_COLUMNS):
+                        size = n * np.dtype(kind).itemsize
+                        if i in columns:
+                            data.seek(at)
+                            out.append(np.frombuffer(data.read(size), kind))
+                        at += size
+                    yield slot, out
+                else:
+                    yield slot, [part[i] for i in columns]
                 slot += n
+        finally:
+            if data:
+                data.close()
 
     def close(self) -> None:
-        self.fs.delete_dir(self.dir)
-
-
-class _Minima:
-    """Least values of ranges of an array."""
-
-    def __init__(self, x: np.ndarray) -> None:
-        pad = np.full(-len(x) % _BLOCK, np.iinfo(x.dtype).max, x.dtype)
-        self.cells = np.concatenate([x, pad]).reshape(-1, _BLOCK)
-        self.up = np.minimum.accumulate(self.cells, axis=1).ravel()
-        self.down = np.minimum.accumulate(self.cells[:, ::-1], axis=1)[:, ::-1].ravel()
-        self.table = [self.cells.min(axis=1)]
-        while len(self.table[-1]) > 1 << (len(self.table) - 1):
-            step, last = 1 << (len(self.table) - 1), self.table[-1]
-            if len(last) <= step:
-                break
-            self.table.append(np.minimum(last[:-step], last[step:]))
-
-    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Least of x[lo..hi], both inclusive."""
-        a, b = lo // _BLOCK, hi // _BLOCK
-        out = np.minimum(self.down[lo], self.up[hi])
-        same = np.flatnonzero(a == b)
-        if len(same):
-            own = self.cells[a[same]]
-            at = np.arange(_BLOCK)
-            within = (at >= (lo[same] % _BLOCK)[:, None]) & (at <= (hi[same] % _BLOCK)[:, None])
-            out[same] = np.where(within, own, np.iinfo(own.dtype).max).min(axis=1)
-        far = np.flatnonzero(b > a + 1)
-        if len(far):
-            l, n = a[far] + 1, b[far] - a[far] - 1
-            level = np.frexp(n.astype(np.float64))[1] - 1
-            for k in np.unique(level):
-                own = np.flatnonzero(level == k)
-                row = self.table[k]
-                least = np.minimum(row[l[own]], row[l[own] + n[own] - (1 << int(k))])
-                out[far[own]] = np.minimum(out[far[own]], least)
+        self.blocks = []
+        if self.made:
+            self.fs.delete_dir(self.dir)
+
+
+def _least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Least of x[lo..hi], both inclusive, for many ranges: a range is two spans of a power of two."""
+    out = np.empty(len(lo), x.dtype)
+    level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
+    order = np.argsort(level, kind="stable")
+    edges = np.searchsorted(level[order], np.arange(level.max(initial=-1) + 2))
+    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+        own = order[a:b]
+        out[own] = np.minimum(x[lo[own]], x[hi[own] - (1 << k) + 1])
+        x = np.minimum(x[: -1 << k], x[1 << k :])
+    return out
+
+
+def _moves(at: np.ndarray, total: int, most: int = TABLE):
+    """A function of slots: how many of the places `at`, in order and up to total, are not beyond them. What
+    a table of at most so many entries leaves open is searched for."""
+    by = (total // most).bit_length()
+    table = np.repeat(np.arange(len(at) + 1, dtype=np.int32), np.diff(at >> by, prepend=0, append=(total >> by) + 1))
+    if not by:
+        return table.take
+
+    def moves(slot: np.ndarray) -> np.ndarray:
+        cell = slot >> by
+        out = table[cell]
+        mixed = np.flatnonzero(out != np.where(cell > 0, table[cell - 1], 0))
+        out[mixed] = np.searchsorted(at, slot[mixed], "right")
         return out
 
+    return moves
+
 
 def _places(files: _Files, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For keys in order: before which slot each goes, and the keys of the slots before and there (-1 if none)."""
@@ -144,7 +176,7 @@ def _prefixes(files: _Files, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         own = np.flatnonzero((lo < slot + len(lcp)) & (hi >= slot))
         if len(own):
             x, y = np.maximum(lo[own] - slot, 0), np.minimum(hi[own] - slot, len(lcp) - 1)
-            least[own] = np.minimum(least[own], _Minima(lcp).of(x, y))
+            least[own] = np.minimum(least[own], _least(lcp, x, y))
     out[alike] = 1 + least
     return out
 
@@ -155,9 +187,10 @@ def build(symbols: np.ndarray, ptr: np.ndarray, files: _Files) -> tuple[np.ndarr
     n = np.diff(ptr)
     m = len(n)
     end = ptr[1:]
-    files.write([(np.arange(m), np.zeros(m, np.int16), symbols[end - 1].astype(np.int32), np.arange(m) << 32)])
+    files.write([(np.arange(m), np.zeros(m, np.int16))])
     slot = np.arange(m)
-    for j in range(1, int(n.max(initial=0)) + 1):
+    rounds = int(n.max(initial=0))
+    for j in range(1, rounds + 1):
         live = np.flatnonzero(n >= j)
         fresh = (symbols[end[live] - j].astype(np.int64) << 32) | slot[live]
         order = np.argsort(fresh)
@@ -168,37 +201,50 @@ def build(symbols: np.ndarray, ptr: np.ndarray, files: _Files) -> tuple[np.ndarr
         last = np.flatnonzero(np.append(~follows[1:], True) & (after >= 0))  # an old one comes next
         common = _prefixes(files, np.concatenate([before, fresh[last]]), np.concatenate([fresh, after[last]]))
         mine, theirs = common[: len(live)], common[len(live) :]
-        moved = lambda key: key + np.searchsorted(at, key & _PSI, "right")
-        symbol = np.where(n[live] > j, symbols[np.maximum(end[live] - j - 1, 0)], 0).astype(np.int32)
-        new = (moved(fresh), mine, symbol, (live << 32) | j)
+        total = files.total
+        moves = _moves(at, total)
+        fresh += moves(fresh & _PSI)
 
         def merged():
             done = 0
-            for first, (key, lcp, bwt, ident) in files.read(0, 1, 2, 3):
+            for first, (key, lcp) in files.read(0, 1):
                 stop = first + len(key)
                 to = len(at) if stop == total else int(np.searchsorted(at, stop, "left"))
-                lcp = lcp.copy()
-                own = last[np.searchsorted(at[last], first) : np.searchsorted(at[last], stop)]
-                lcp[at[own] - first] = theirs[np.searchsorted(last, own)]
-                places = at[done:to] - first
-                yield tuple(np.insert(old, places, x[done:to]) for old, x in zip((moved(key), lcp, bwt, ident), new))
+                places = at[done:to] - first + np.arange(to - done)
+                old = np.ones(len(key) + to - done, bool)
+                old[places] = False
+                keys, prefixes = np.empty(len(old), np.int64), np.empty(len(old), np.int16)
+                keys[old], keys[places] = key + moves(key & _PSI), fresh[done:to]
+                prefixes[old], prefixes[places] = lcp, mine[done:to]
+                a, b = np.searchsorted(last, (done, to))
+                own = last[a:b]
+                prefixes[at[own] - first + own - done + 1] = theirs[a:b]
+                yield keys, prefixes
                 done = to
 
-        total = sum(files.sizes)
         files.write(merged())
         slot[live] = at + np.arange(len(live))
-    columns = [np.concatenate(c) for c in zip(*(c for _, c in files.read(1, 2, 3)))]
-    return columns[0], columns[2] >> 32, columns[2] & _PSI, columns[1]
-
-
-def repeated(lot: pa.Table, least: int, root: str, block: int = BLOCK) -> tuple[np.ndarray, ...]:
+    key, lcp = (np.concatenate(c) for c in zip(*(c for _, c in files.read(0, 1))))
+    longer = np.empty(len(key), np.int64)  # the slot of the suffix one word longer
+    longer[key[m:] & _PSI] = np.arange(m, len(key))
+    seq, length = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+    own = here = np.arange(m)
+    for j in range(rounds + 1):
+        seq[here], length[here] = own, j
+        more = n[own] > j
+        own, here = own[more], longer[here[more]]
+    bwt = np.where(length < n[seq], symbols[np.maximum(end[seq] - length - 1, 0)], 0).astype(np.int32)
+    return lcp, seq, length, bwt
+
+
+def repeated(lot: pa.Table, least: int, root: str, block: int = BLOCK, held: int = HELD) -> tuple[np.ndarray, ...]:
     """(key, start, stop): runs of windows of `least` words that another document of the lot has."""
     body = np.frombuffer(b"".join(lot.column("words").to_pylist()), np.int32)
     key, first, last = (lot.column(c).to_numpy() for c in ("key", "first", "last"))
     size = last - first + least
     ptr = np.concatenate([[0], np.cumsum(size)])
     symbols = np.unique(body, return_inverse=True)[1] + 1
-    files = _Files(root, block)
+    files = _Files(root, block, held)
     try:
         lcp, seq, length, _ = build(symbols, ptr, files)
     finally:

@@ -138,6 +138,46 @@ def test_suffix_order_and_common_prefixes(tmp_path):
     assert not list((tmp_path / "millrace-suffixes").iterdir())
 
 
+def segments(rng, n=120):
+    """A lot of sequences that share runs of words, each of another document."""
+    text = rng.integers(0, 40, 2000).astype(np.int32)
+    size = rng.integers(20, 60, n)
+    at = rng.integers(0, len(text) - 60, n)
+    words = [text[a : a + k].tobytes() for a, k in zip(at, size)]
+    return pa.table({"key": np.arange(n), "first": at, "last": at + size - 20, "words": words})
+
+
+def test_a_lot_that_memory_holds_writes_no_file(tmp_path):
+    lot, root = segments(np.random.default_rng(2)), f"file://{tmp_path}"
+    got = suffix.repeated(lot, 20, root)
+    assert len(got[0]) and not (tmp_path / "millrace-suffixes").exists()
+    for held in (0, 5_000, 60_000):  # all, most and a part of the file in the folder
+        assert all(np.array_equal(x, y) for x, y in zip(got, suffix.repeated(lot, 20, root, 50, held)))
+    assert not list((tmp_path / "millrace-suffixes").iterdir())
+
+
+def test_blocks_stay_as_large_as_they_are_meant_to_be(tmp_path):
+    lot = segments(np.random.default_rng(3))
+    body = np.frombuffer(b"".join(lot.column("words").to_pylist()), np.int32)
+    ptr = np.concatenate([[0], np.cumsum([len(w) // 4 for w in lot.column("words").to_pylist()])])
+    files = suffix._Files(f"file://{tmp_path}", 500)
+    suffix.build(body + 1, ptr, files)
+    assert sum(1 for _ in files.read(0)) <= (len(body) + lot.num_rows) // 500
+    files.close()
+
+
+def test_moves_of_slots_and_least_of_ranges():
+    rng = np.random.default_rng(4)
+    for total in (1, 7, 64, 1000):
+        at = np.sort(rng.integers(0, total + 1, rng.integers(1, 200)))
+        slot = rng.integers(0, total, 500)
+        for most in (1, 8, 100, suffix.TABLE):
+            assert suffix._moves(at, total, most)(slot).tolist() == np.searchsorted(at, slot, "right").tolist()
+        x = rng.integers(0, 50, total).astype(np.int16)
+        lo, hi = np.sort(rng.integers(0, total, (2, 300)), axis=0)
+        assert suffix._least(x, lo, hi).tolist() == [int(x[a : b + 1].min()) for a, b in zip(lo, hi)]
+
+
 def test_lots_keep_anchors_whole():
     rng = np.random.default_rng(1)
     anchor = np.sort(rng.integers(0, 20, 300))
