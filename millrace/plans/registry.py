@@ -89,7 +89,7 @@ def _stand_ins(spark, sf_dir) -> DataFrame:
     )), per_line)
     df = df.withColumn("flags", flags)
     change = F.transform(F.filter("flags", lambda f: f["code"] == "address"), lambda f: F.struct(F.lit("hide_address").alias("rule"), f["field"].alias("field"), f["detail"].cast("int").alias("count"), F.lit("").alias("reason")))
-    return df.select("doc_id", F.lit("documents").alias("path"), F.col("doc_id").alias("line"), F.lit(True).alias("valid"), F.lit(True).alias("object"), F.element_at("lines", 1).alias("name"), F.col("lines").alias("recipeIngredient"), F.col("lines").alias("recipeInstructions"), "flags", change.alias("changes"))
+    return df.select("doc_id", F.lit("documents").alias("path"), F.col("doc_id").alias("line"), F.lit(True).alias("valid"), F.lit(True).alias("object"), F.get("lines", F.lit(0)).alias("name"), F.col("lines").alias("recipeIngredient"), F.col("lines").alias("recipeInstructions"), "flags", change.alias("changes"))
 
 
 _FLAGS = f"""
