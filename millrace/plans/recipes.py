@@ -167,7 +167,7 @@ def sample(spark: SparkSession, input: str, output: str, report: str, size: int
     sinks.write_lines(ordered, output, overwrite)
     document = {
         "pipeline_version": __version__, "source": input, "output": output, "source_total_lines": n + blank, "source_nonempty_records": n, "source_blank_lines": blank,
-        "requested_sample_size": size, "selected_records": min(size, n), "seed": seed, "algorithm": "two_pass_sequential_uniform_selection", "content_sha256": sinks.content_sha256(ordered),
+        "requested_sample_size": size, "selected_records": min(size, n), "seed": seed, "algorithm": "two_pass_sequential_uniform_selection", "content_sha256": sinks.content_sha256(taken, *ORDER),
     }
     sinks.write_document(document, report)
     return document
@@ -201,7 +201,7 @@ def prepare_holdout(spark: SparkSession, source: str, train: str, output: str, r
     rows, document = holdout(sources.Input(spark, source).text(), sources.Input(spark, train).text(), count, seed)
     lines = checkpointed(rows.select("digest", sinks.json_line(*FIELDS))).orderBy("digest")
     sinks.write_lines(lines, output, overwrite)
-    document = {"source_file": source, "train_file": train, "output_file": output, **document, "output_sha256": sinks.content_sha256(lines), "disjoint_rule": "no two rows share a BLAKE2b-128 of their three stripped fields"}
+    document = {"source_file": source, "train_file": train, "output_file": output, **document, "output_sha256": sinks.content_sha256(lines, "digest"), "disjoint_rule": "no two rows share a BLAKE2b-128 of their three stripped fields"}
     sinks.write_document(document, report)
     return document
 

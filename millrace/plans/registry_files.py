@@ -76,9 +76,10 @@ def line_issues(spark, sf_dir):
 
 @query(f"SELECT sha256(string_agg(replace({_NORMAL}, chr(10), ' ') || chr(10), '' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents")
 def content_digest(spark, sf_dir):
-    """The hash of all lines in their order; rows pass the driver a partition at a time."""
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.translate(kept_lines(F.col("text")), "\n", " ").alias("value")).orderBy("doc_id")
-    return spark.createDataFrame([(sinks.content_sha256(rows), rows.count())], "digest string, n long")
+    """The hash of all lines in their order. Null texts count as rows; without any text there is no hash."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.translate(kept_lines(F.col("text")), "\n", " ").alias("value"))
+    digest, lines, n = sinks.hashed(rows, "doc_id")
+    return spark.createDataFrame([(digest if lines else None, n)], "digest string, n long")
 
 
 #: Training rows from documents; some are invalid, and spaces around the fields don't count.

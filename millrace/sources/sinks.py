@@ -8,6 +8,7 @@ import io
 import json
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.sources.files import joined, write_text
@@ -57,13 +58,31 @@ def write_words(words: list[str], path: str | Path, header: str) -> None:
     write_text(f"# {header}\n" + "".join(f"{w}\n" for w in words), path)
 
 
-def content_sha256(ordered: DataFrame) -> str:
-    """SHA-256 of the lines of `value` in their order. The rows pass the driver one partition at a time;
-    use it for samples, not for whole corpora."""
-    h = hashlib.sha256()
-    for r in ordered.select("value").toLocalIterator():
-        h.update((r.value.rstrip("\r\n") + "\n").encode())
-    return h.hexdigest()
+def hashed(lines: DataFrame, *order: str) -> tuple[str, int, int]:
+    """The SHA-256 of the lines of `value` by `order`, the number of these lines, and that of rows. A null
+    is a row without a line. Such a hash has no parts: each line changes the state that the next one
+    needs. So one task takes all of them, sorted and streamed, and only the result reaches the driver;
+    everything before that is distributed."""
+
+    def one(batches):
+        h, n, rows = hashlib.sha256(), 0, 0
+        for batch in batches:
+            rows += batch.num_rows
+            for line in batch.column("_line").to_pylist():
+                if line is not None:
+                    h.update(line)
+                    n += 1
+        yield pa.RecordBatch.from_pydict({"digest": [h.hexdigest()], "n": [n], "rows": [rows]})
+
+    line = F.concat(F.rtrim("value", F.lit("\r\n")), F.lit("\n")).cast("binary")
+    ordered = lines.select(*order, line.alias("_line")).repartition(1).sortWithinPartitions(*order)
+    found = ordered.select("_line").mapInArrow(one, "digest string, n long, rows long").first()
+    return tuple(found) if found else (hashlib.sha256().hexdigest(), 0, 0)
+
+
+def content_sha256(lines: DataFrame, *order: str) -> str:
+    """SHA-256 of the lines of `value` by `order`."""
+    return hashed(lines, *order)[0]
 
 
 def write_ranking(rows: list[dict], root: str | Path) -> None:
