@@ -39,3 +39,12 @@ def test_samples_do_not_depend_on_partitions(spark, parts):
     assert sorted(r.at + 1 for r in got) == sampling.selection(500, 40, 3) and all(r.ordinal == r.at + 1 for r in got)
     got = sampling.reservoir_sample(df, ["at"], 40, 3).collect()
     assert [r.at + 1 for r in sorted(got, key=lambda r: r.slot)] == sampling.reservoir(500, 40, 3)
+
+
+def test_the_query_samples_the_whole_table(spark, small):
+    """Its SQL lists the ordinals of 1,000 documents; the table has 200."""
+    from millrace.plans import registry
+
+    ids = sorted(r.doc_id for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id").collect())
+    got = registry.QUERIES["seq_sample_exact"](spark, small).collect()
+    assert sorted((r.ordinal, r.doc_id) for r in got) == [(i, ids[i - 1]) for i in sequential(len(ids), registry.SIZE, registry.SEED)]
