@@ -19,7 +19,7 @@ def odd(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["examples_per_issue", "routes", "content_digest"])
+@pytest.mark.parametrize("name", ["examples_per_issue", "route_counts", "routes", "content_digest"])
 def test_same_rows_as_sql(spark, odd, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{odd}/documents.parquet/*.parquet'")
